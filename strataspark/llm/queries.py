@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, tokenbin
-from .common import table
+from . import bpe, quality, secrets, tokenbin
+from .common import crc_rest, table
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,8 +20,19 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_table(table(spark, sf_dir, "documents"))
 
 
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    out = quality.score(docs, model)
+    return out.select("doc_id", (crc_rest("doc_id", quality.FOLDS) == quality.HELD_OUT).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe, "op6_tokens": op6_tokens}
+    return {"op3_bpe": op3_bpe, "op5_secrets": op5_secrets, "op9_quality": op9_quality, "op6_tokens": op6_tokens}
 
 
 def oracle_sql() -> dict[str, str]:
