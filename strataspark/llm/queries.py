@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality, secrets, tokenbin
+from . import bpe, minhash, quality, secrets, tokenbin
 from .common import crc_rest, table
 
 
@@ -20,6 +20,10 @@ def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenbin.token_table(table(spark, sf_dir, "documents"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -32,7 +36,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe, "op5_secrets": op5_secrets, "op9_quality": op9_quality, "op6_tokens": op6_tokens}
+    return {"op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_secrets": op5_secrets, "op9_quality": op9_quality, "op6_tokens": op6_tokens}
 
 
 def oracle_sql() -> dict[str, str]:
