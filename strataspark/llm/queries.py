@@ -7,10 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, minhash, quality, secrets, tokenbin
+from . import bpe, decontam, langid, minhash, mtree, quality, secrets, tokenbin
 from .common import crc_rest, table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = langid.label(docs.select("doc_id", "text"), langid.fit(docs))
+    return out.select("doc_id", (crc_rest("doc_id", langid.FOLDS) == langid.HELD_OUT).alias("held_out"), "lang_pred", "score", F.size("lang_spans").alias("n_spans"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
@@ -28,6 +38,11 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return mtree.top_k(e, e.where("vec_id % 50 = 0"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -36,7 +51,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_secrets": op5_secrets, "op9_quality": op9_quality, "op6_tokens": op6_tokens}
+    return {"op1_decontamination": op1_decontamination, "op2_langid": op2_langid, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_secrets": op5_secrets, "op8_topk": op8_topk, "op9_quality": op9_quality, "op6_tokens": op6_tokens}
 
 
 def oracle_sql() -> dict[str, str]:
