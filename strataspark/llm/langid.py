@@ -103,6 +103,7 @@ def viterbi(rows: np.ndarray, sizes: np.ndarray, table: np.ndarray, switch: floa
     alive = len(n) - np.searchsorted(n[::-1], np.arange(1, longest + 1), side="left")  # texts that have a word t
     best_of, stays = np.zeros(len(rows), np.int16), np.zeros((len(rows), states), bool)
     v = table[rows[off[: alive[0]]]]
+    last = v.copy()
     for t in range(1, longest):
         a = alive[t]
         at = off[:a] + t
@@ -113,11 +114,7 @@ def viterbi(rows: np.ndarray, sizes: np.ndarray, table: np.ndarray, switch: floa
         best_of[at], stays[at] = top, stay
         v = np.where(stay, v, floor[:, None]) + table[rows[at]]
         v -= v.max(axis=1, keepdims=True)
-        if a < alive[t - 1] or t == longest - 1:
-            pass
-        last = v if t == 1 else np.concatenate([v, last[a:]])
-    if longest == 1:
-        last = v
+        last[:a] = v
     state = last[: alive[0]].argmax(axis=1).astype(np.int16)
     for t in range(longest - 1, 0, -1):
         a = alive[t]
