@@ -100,7 +100,9 @@ def decode(df: DataFrame, spec: str, ids_col: str = "ids", out_col: str = "decod
 
         def f(b: pa.RecordBatch) -> list:
             col = b.column(b.schema.get_field_index(ids_col))
-            return [[m.decode(x).decode("utf-8", "replace") if x else "" for x in (s.as_py() for s in col)]]
+            # a null list has no values of its own: its bounds are equal
+            bounds, ids = col.offsets.to_pylist(), col.values.to_numpy(zero_copy_only=False)
+            return [[m.decode(ids[s:e].tolist()).decode("utf-8", "replace") for s, e in zip(bounds, bounds[1:], strict=False)]]
 
         return f
 
