@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import extend, ready, texts, tokenizer_path
+from .common import cut, discard, extend, ready, texts, tokenizer_path
 from .lexicon import Lexicon
 from .merging import Merger, merger
 
@@ -32,7 +32,8 @@ FLUSH = 150_000
 
 
 def frequent_words(df: DataFrame, spec: str, text_col: str = "text", size: int = LEXICON_WORDS) -> list[str]:
-    """The `size` most frequent words of all texts, ties to the smaller word. Words are summed in the tasks first."""
+    """The most frequent words of all texts, at most `size`: all words above some count. Words are summed in the tasks first,
+    and only the chosen ones reach the driver."""
 
     def run(batches):
         m = merger(spec)
@@ -59,8 +60,19 @@ def frequent_words(df: DataFrame, spec: str, text_col: str = "text", size: int =
                 yield words()
         yield words()
 
-    top = df.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    return [r.word for r in top.collect()]
+    counts = cut(df.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    step = F.floor(F.log2("n") * 16)
+    # a few hundred steps of counts, then no more words than asked for
+    steps = sorted(counts.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"])
+    least, total = None, 0
+    for r in steps:
+        total += r["count"]
+        if total > size:
+            break
+        least = r["s"]
+    words = [] if least is None else [r.word for r in counts.where(step >= least).select("word").collect()]
+    discard(counts)
+    return sorted(words)
 
 
 def build_lexicon(words: list[str], spec: str) -> Lexicon:
