@@ -28,6 +28,7 @@ def ready(spark: SparkSession) -> SparkSession:
         env["PYTHONPATH"] = ":".join([*parts, ROOT])
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
     return spark
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, minhash, mtree, quality, secrets, tokenbin
+from . import bpe, decontam, langid, minhash, mtree, quality, secrets, suffix, tokenbin
 from .common import crc_rest, table
 
 
@@ -50,8 +50,12 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_rest("doc_id", quality.FOLDS) == quality.HELD_OUT).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"), keep_bytes=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_langid": op2_langid, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_secrets": op5_secrets, "op8_topk": op8_topk, "op9_quality": op9_quality, "op6_tokens": op6_tokens}
+    return {"op1_decontamination": op1_decontamination, "op2_langid": op2_langid, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_secrets": op5_secrets, "op8_topk": op8_topk, "op9_quality": op9_quality, "op10_repeats": op10_repeats, "op6_tokens": op6_tokens}
 
 
 def oracle_sql() -> dict[str, str]:
