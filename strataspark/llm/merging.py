@@ -18,8 +18,8 @@ import tiktoken
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Entries of a worker's memo of chunks; it is emptied beyond that, which costs time and changes nothing.
-MEMO = 300_000
+#: Entries of a worker's memo of chunks; beyond that only those of the current batch stay, which changes no result.
+MEMO = 500_000
 
 PLAIN = re.compile("[\x01-ɏ]*").fullmatch
 #: White space that seldom stands in a text.
@@ -122,7 +122,9 @@ class Merger:
                 need.update(rest or ())
         known = self.rest
         if len(known) > MEMO:
+            stay = {x: known[x] for x in need if x in known}
             known.clear()
+            known.update(stay)
         self._fill_rest([x for x in need if x not in known], known)
         if len(self.first) > MEMO // 10:
             self.first.clear()

@@ -28,7 +28,7 @@ from .merging import merger
 FILE = "word_bpe_49k.json"
 END_ID = 1
 #: Tokens of a shard, at most one document more. A task's range is written as several shards beyond that.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 1_000_000
 #: Shards up to which the table of their sums (20 bytes each) is broadcast; beyond that it is joined by a shuffle.
 SMALL_SHARDS = 500_000
 BLOCK = 512  # bits between rank samples
@@ -136,15 +136,14 @@ class WaveletMatrix:
         return [self.select(value, k) for k in range(self.count(value))]
 
     def all(self) -> np.ndarray:
-        """Every id in order, plane by plane."""
-        at, out = np.arange(self.n), np.zeros(self.n, np.uint32)
-        for p, zeros in zip(self.planes, self.zeros, strict=True):
+        """Every id in order: from the last plane up, each plane's order is undone and its bit put in."""
+        out = np.zeros(self.n, np.uint16 if len(self.planes) <= 16 else np.uint32)
+        for level, (p, zeros) in enumerate(reversed(list(zip(self.planes, self.zeros, strict=True)))):
             bit = np.unpackbits(p, count=self.n, bitorder="little").view(bool)
-            to = np.cumsum(bit, dtype=np.int64)
-            to = np.where(bit, zeros + to - 1, np.arange(self.n) - to)
-            here = bit[at]
-            out = out << 1 | here
-            at = to[at]
+            up = np.empty_like(out)
+            up[~bit] = out[:zeros]
+            up[bit] = out[zeros:] | out.dtype.type(1 << level)
+            out = up
         return out
 
 
@@ -188,7 +187,7 @@ def write_shards(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str
 def read_shards(shards: DataFrame) -> DataFrame:
     """One row for each document, read from the files: doc_id, start, n_tokens, ids_crc32."""
     sizes = shards.select("part", "shard", "n_tokens")
-    # one row for each shard: the sums of a few million tokens each
+    # one row for each shard: the sums of a million tokens each
     base = sizes.withColumn("base", F.sum("n_tokens").over(Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1))).select("part", "shard", F.coalesce("base", F.lit(0)).alias("base"))
 
     def run(batches):
