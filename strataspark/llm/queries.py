@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, langid, minhash, mtree, quality, secrets, suffix, tokenbin
+from . import bpe, chat, decontam, langid, minhash, mtree, quality, secrets, suffix, tokenbin
 from .common import crc_rest, table
 
 
@@ -38,6 +38,12 @@ def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    out = chat.canonical(chat.roles(c.select("conv_id", "turn", "text"), chat.fit(c)))
+    return out.select("conv_id", "turn", "role_pred", "opens", F.sha2("rendered", 256).alias("rendered_sha256"))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     return mtree.top_k(e, e.where("vec_id % 50 = 0"))
@@ -55,7 +61,7 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontamination": op1_decontamination, "op2_langid": op2_langid, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_secrets": op5_secrets, "op8_topk": op8_topk, "op9_quality": op9_quality, "op10_repeats": op10_repeats, "op6_tokens": op6_tokens}
+    return {"op1_decontamination": op1_decontamination, "op2_langid": op2_langid, "op3_bpe": op3_bpe, "op4_minhash": op4_minhash, "op5_secrets": op5_secrets, "op7_chat": op7_chat, "op8_topk": op8_topk, "op9_quality": op9_quality, "op10_repeats": op10_repeats, "op6_tokens": op6_tokens}
 
 
 def oracle_sql() -> dict[str, str]:
