@@ -173,7 +173,7 @@ class Labeller:
         split = [t.split() for t in many]
         if len(self.rows) > 300_000:
             self.clear()
-        new = list({w for x in split for w in x} - self.rows.keys())
+        new = list({w for x in split for w in x if w not in self.rows})
         plain = [letters_of(w) for w in new]
         have = [i for i, w in enumerate(plain) if w]
         at = len(self.table)

@@ -68,8 +68,9 @@ class Shingles:
         memo = self.memo
         if len(memo) > 300_000:
             memo.clear()
-        for w in set(found) - memo.keys():
-            memo[w] = xxhash.xxh3_64_intdigest(w)
+        for w in set(found):
+            if w not in memo:
+                memo[w] = xxhash.xxh3_64_intdigest(w)
         h = np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
         k = min(self.k, len(h))
         out = np.full(len(h) - k + 1, k, np.uint64)
@@ -80,16 +81,17 @@ class Shingles:
 
 def registers(hashes: np.ndarray) -> np.ndarray:
     """The least hash (62 bits) of each band's buckets; all ones where a bucket is empty."""
-    least = np.full((BUCKETS, BANDS), np.uint64(1 << 63))
+    least = np.full((BANDS, BUCKETS), np.uint64(1 << 63))
     for at in range(0, len(hashes), 1024):
-        x = (hashes[at : at + 1024, None] ^ _XOR) * _ODD
+        x = (hashes[None, at : at + 1024] ^ _XOR[:, None]) * _ODD[:, None]
         x ^= x >> np.uint64(29)
         x *= _M1
         x ^= x >> np.uint64(32)
-        bucket, rest = x >> np.uint64(62), x & np.uint64((1 << 62) - 1)
         for k in range(BUCKETS):
-            np.minimum(least[k], np.where(bucket == k, rest, np.uint64(1 << 63)).min(axis=0), out=least[k])
-    return least.T.reshape(-1)
+            # the two top bits are the bucket: with these turned to 0 for bucket k, the least of all is its own, if it has one
+            low = (x ^ np.uint64(k << 62) if k else x).min(axis=1)
+            np.minimum(least[:, k], np.where(low >> np.uint64(62) == 0, low, np.uint64(1 << 63)), out=least[:, k])
+    return least.reshape(-1)
 
 
 def compress(least: np.ndarray) -> np.ndarray:

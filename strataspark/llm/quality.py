@@ -58,7 +58,7 @@ class Features:
         slots = self.slots
         if len(slots) > 200_000:
             slots.clear()
-        for w in counts.keys() - slots.keys():
+        for w in [w for w in counts if w not in slots]:
             slots[w] = xxhash.xxh3_64_intdigest("w:" + w.lower().strip(".,;:")) % self.size
         idx = np.fromiter(map(slots.__getitem__, counts), np.int64, len(counts))
         val = np.sqrt(np.fromiter(counts.values(), np.float64, len(counts)))
