@@ -98,13 +98,24 @@ def strip_nested(c: Column, start: str, end: str) -> Column:
     return F.regexp_replace(c, f"(?s){q(start)}.*?{q(end)}", "")
 
 
-#: Ordered substitutions that take wiki markup to plain text: pattern, replacement.
+#: The ordered substitutions that take wiki markup to plain text (pattern, replacement).
 WIKI_STEPS = [
-    (r"(?s)<!--.*?-->", " "), (r"(?si)<ref[^>]*>.*?</ref>", " "), (r"<[^>]+>", " "),
-    (r"(?iu)\[\[(?:File|Image|ファイル|画像):[^\]]*\]\]", " "), (r"(?iu)\[\[(?:Category|カテゴリ):[^\]]*\]\]", " "),
-    (r"\[\[[^\]|]*\|([^\]]*)\]\]", "$1"), (r"\[\[([^\]]*)\]\]", "$1"), (r"\[https?://[^\s\]]+\s+([^\]]+)\]", "$1"), (r"https?://\S+", " "),
-    (r"(?md)^=+\s*(.*?)\s*=+\s*$", "$1"), (r"(?md)^\*+.*$", " "), (r"(?md)^#+.*$", " "), (r"(?md)^[;:]+.*$", " "), (r"\n{2,}", "\n"), (r"[ \t]+", " "),
-]
+    (r"(?s)<!--.*?-->", " "),
+    (r"(?s)<ref[^>]*>.*?</ref>", " "),
+    (r"<[^>]+>", " "),
+    (r"(?iu)\[\[(?:File|Image|ファイル|画像):[^\]]+\]\]", " "),
+    (r"(?iu)\[\[(?:Category|カテゴリ):[^\]]+\]\]", " "),
+    (r"\[\[([^\]|]+)\|([^\]]+)\]\]", "$2"),
+    (r"\[\[([^\]]+)\]\]", "$1"),
+    (r"\[https?://[^\s\]]+(?U:\s)([^\]]+)\]", "$1"),
+    (r"https?://(?U:\S+)", " "),
+    (r"(?md)^=+(?U:\s*)(.*?)(?U:\s*)=+$", "$1"),
+    (r"(?md)^\*.*$", " "),
+    (r"(?md)^#.*$", " "),
+    (r"(?md)^[;:].*$", " "),
+    (r"\n{2,}", "\n"),
+    (r"[ \t]+", " "),
+]
 
 
 def wiki_text(c: Column | str) -> Column:

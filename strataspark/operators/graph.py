@@ -15,10 +15,15 @@ from ..plans.staging import staged
 RELATION = "parent taxon"
 #: Rank items and their English names, for graphs whose rank names are missing.
 RANK_NAMES = {
-    "Q7432": "species", "Q68947": "subspecies", "Q34740": "genus", "Q35409": "family", "Q36602": "order", "Q37517": "class", "Q164280": "subfamily",
-    "Q227936": "tribe", "Q2136103": "superfamily", "Q5867959": "suborder", "Q2889003": "infraorder", "Q3238261": "subgenus", "Q3965313": "subtribe",
-    "Q713623": "clade", "Q10861678": "superorder", "Q2007442": "infraclass", "Q5868144": "superorder", "Q21061732": "species group",
+    "Q68947": "subspecies", "Q7432": "species", "Q34740": "genus", "Q35409": "family", "Q164280": "subfamily", "Q227936": "tribe",
+    "Q2136103": "superfamily", "Q36602": "order", "Q37517": "class", "Q5867959": "suborder", "Q2889003": "infraorder", "Q5867051": "subclass",
+    "Q6311258": "parvorder", "Q3238261": "subgenus", "Q5868144": "superorder", "Q279749": "form", "Q2007442": "infraclass", "Q112082101": "ichnogenus",
 }
+#: Ranks from the top down.
+RANK_ORDER = [
+    "class", "subclass", "infraclass", "superorder", "order", "suborder", "infraorder", "parvorder", "superfamily", "family",
+    "subfamily", "tribe", "genus", "subgenus", "species", "subspecies", "form", "ichnogenus", "unknown",
+]
 
 
 def build_nodes(rows: DataFrame) -> DataFrame:
@@ -54,7 +59,7 @@ def orphan_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def children(nodes: DataFrame, edges: DataFrame, parent: str) -> DataFrame:
-    return edges.where(F.col("parent_qid") == parent).join(nodes, F.col("child_qid") == F.col("qid")).select(nodes["*"]).orderBy("qid")
+    return edges.where(F.col("parent_qid") == parent).select(F.col("child_qid").alias("qid")).join(nodes, "qid").select(*nodes.columns).orderBy("qid")
 
 
 def descendants(nodes: DataFrame, edges: DataFrame, root: str, max_depth: int | None = None, stage_every: int = 8) -> DataFrame:
@@ -120,7 +125,7 @@ def subtree_sizes(nodes: DataFrame, edges: DataFrame, ancestors: DataFrame) -> D
     leaf = leaves(nodes, edges).select("qid", F.lit(1).alias("leaf"))
     n = ancestors.join(leaf, "qid", "left").groupBy("ancestor").agg(F.countDistinct("qid").alias("n"), F.countDistinct(F.when(F.col("leaf") == 1, F.col("qid"))).alias("l"))
     zero = lambda c, to: F.coalesce(F.col(c), F.lit(0)).alias(to)
-    return nodes.join(n.withColumnRenamed("ancestor", "qid"), "qid", "left").select(nodes["*"], zero("n", "assigned_node_count"), zero("l", "assigned_leaf_node_count"))
+    return nodes.join(n.withColumnRenamed("ancestor", "qid"), "qid", "left").select(*nodes.columns, zero("n", "assigned_node_count"), zero("l", "assigned_leaf_node_count"))
 
 
 def subtree_summary(detail: DataFrame, rank_col: str) -> DataFrame:
@@ -204,12 +209,20 @@ def propagate(adj: DataFrame, features: DataFrame, cols: list[str]) -> DataFrame
     return x.groupBy(F.col("src").alias("qid")).agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in cols])
 
 
-def rank_counts(nodes: DataFrame, rank_col: str = "taxon_rank_name") -> DataFrame:
+def rank_counts(nodes: DataFrame, rank_col: str = "taxon_rank_name", item_col: str | None = None) -> DataFrame:
     """Counts by rank, most first; a blank rank name is looked up by its item."""
+    item = or_else(py_strip(item_col) if item_col else F.lit(""), F.lit("unknown"))
     known = F.create_map(*[F.lit(x) for kv in RANK_NAMES.items() for x in kv])
-    named = or_else(py_strip(rank_col), F.try_element_at(known, py_strip("taxon_rank")) if "taxon_rank" in nodes.columns else F.lit(""), F.lit("unknown"))
-    source = F.when(py_strip(rank_col) != "", "name").when(named != "unknown", "item").otherwise("none")
-    return nodes.groupBy(named.alias("rank_name"), source.alias("source")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rank_name")
+    own, looked = py_strip(rank_col), F.try_element_at(known, item)
+    source = F.when(own != "", "graph").when(looked.isNotNull(), "fallback_wikidata").otherwise("unknown")
+    return nodes.groupBy(item.alias("taxon_rank_qid"), or_else(own, looked, F.lit("unknown")).alias("taxon_rank_name"), source.alias("name_source")).agg(F.count("*").alias("node_count")).orderBy(F.desc("node_count"), "taxon_rank_qid", "taxon_rank_name")
+
+
+def in_rank_order(detail: DataFrame, rank_col: str, count_col: str, id_col: str) -> DataFrame:
+    """From the top rank down, then most first; ranks that aren't known last."""
+    order = F.array(*[F.lit(r) for r in RANK_ORDER])
+    at = F.array_position(order, F.col(rank_col))
+    return detail.orderBy(F.when(at == 0, F.lit(len(RANK_ORDER) + 1)).otherwise(at), F.desc(count_col), id_col)
 
 
 def elements(nodes: DataFrame, edges: DataFrame) -> DataFrame:
