@@ -14,8 +14,9 @@ sequence as one, if it has fewer words). Two texts link if their sets' Jaccard s
 4. Candidates form clusters. These are dealt into blocks of about BLOCK classes, whose full sets meet in one task: there
    every pair that isn't connected yet is estimated and then confirmed on the full sets, best estimate first.
 5. Between blocks: for each two parts of a cluster, the candidate of best estimate is confirmed; what then still shares
-   a key but no component is confirmed pair by pair. So no pair that shares a band is left out, and no group is expanded
-   into all its pairs.
+   a key but no component is confirmed pair by pair, but for pairs that can't link because too many shingles of one
+   stand in no other set of their cluster (as of copies with many changes). So no pair that shares a band is left out, and no
+   group is expanded into all its pairs.
 
 Null doc_ids take no part in links. Texts that are null or have no word have an empty set and no links, and are kept. Each row of a
 table with repeated doc_ids is judged by its own text, under the shared id. Clashing columns don't matter (only id and
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import cut, discard, extend, parts, ready, texts
-from .components import components
+from .components import components, joined
 
 BANDS, BUCKETS, ROOT_BITS = 24, 4, 10
 CUT = 0.6
@@ -219,8 +220,26 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
     return members.groupBy("cluster", "block").applyInArrow(run, "a long, b long")
 
 
+def _lone_counts(members: DataFrame) -> DataFrame:
+    """node, lone: how many of its shingles no other member of its cluster has. Blocks leave out what two of theirs share, so only
+    few shingles are exchanged."""
+
+    def run(t: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()]
+        every, count = np.unique(np.concatenate(sets), return_counts=True)
+        once = every[count == 1]
+        lone = [x[np.isin(x, once, assume_unique=True)] for x in sets]
+        n = [len(x) for x in lone]
+        return pa.table({"cluster": pa.array([t["cluster"][0].as_py()] * sum(n), pa.int64()), "shingle": pa.array(np.concatenate(lone).view(np.int64)), "node": pa.array(np.repeat(t["node"].to_numpy(), n), pa.int64())})
+
+    seen = members.select("cluster", "block", "node", "set").groupBy("cluster", "block").applyInArrow(run, "cluster long, shingle long, node long")
+    return seen.groupBy("cluster", "shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("lone"))
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, on their full sets."""
+    """The pairs (a, b; a table) that link, on their full sets."""
+    if pairs.isEmpty():
+        return pairs.select("a", "b")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
     sets = cut(_sets(docs, nodes, id_col, text_col, words), "sets")
     both = pairs.select("a", "b").join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
@@ -250,34 +269,37 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = cut(clusters.join(sizes, "cluster").select("node", "cluster", "blocks", F.expr("pmod(xxhash64(node), blocks)").alias("block")), "blocks")
     sets = _sets(docs, blocks, "doc_id", "text", words)
-    members = blocks.join(sets, "node").join(one.select(F.col("rep").alias("node"), "bands"), "node")
+    members = cut(blocks.join(sets, "node").join(one.select(F.col("rep").alias("node"), "bands"), "node"), "members")
+    lone = cut(_lone_counts(members.where("blocks > 1")), "lone")
     links = cut(_block_links(members, percent), "block_links")
-
-    def labels(links: DataFrame) -> DataFrame:
-        return components(links, "a", "b")
+    discard(members)
 
     def with_comp(t: DataFrame, comps: DataFrame, node: str, name: str) -> DataFrame:
         return t.join(comps.select(F.col("node").alias(node), F.col("comp").alias("__c")), node, "left").withColumn(name, F.coalesce("__c", node)).drop("__c")
 
-    # between the blocks of a cluster: the best candidate of each two parts
+    comps = components(links, "a", "b")
     split = blocks.where("blocks > 1").select("node")
-    comps = labels(links)
-    across = with_comp(with_comp(pairs.join(split.toDF("a"), "a", "left_semi"), comps, "a", "ca"), comps, "b", "cb").where("ca <> cb")
-    best = across.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.max(F.struct("est", "a", "b")).alias("x")).select("x.a", "x.b")
-    links = links.union(_confirmed(cut(best, "best"), docs, "doc_id", "text", words, percent))
-
-    # whatever else shares a key: other components, and not in one block, where all pairs were tried
-    comps = labels(links)
-    tagged = cut(with_comp(bandrows, comps, "rep", "comp").join(blocks.select(F.col("node").alias("rep"), F.concat_ws(":", "cluster", "block").alias("blk")), "rep", "left"), "tagged")
+    if not split.isEmpty():
+        # between the blocks of a cluster: the best candidate of each two parts
+        across = with_comp(with_comp(pairs.join(split.toDF("a"), "a", "left_semi"), comps, "a", "ca"), comps, "b", "cb").where("ca <> cb")
+        best = across.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.max(F.struct("est", "a", "b")).alias("x")).select("x.a", "x.b")
+        comps = joined(comps, _confirmed(cut(best, "best"), docs, "doc_id", "text", words, percent), "a", "b")
+
+    # whatever else shares a key: of other components, and not of one block, where all pairs were tried. Within a cluster a pair
+    # can't link if too many of its shingles stand in no other set of the cluster
+    known = blocks.join(lone, "node", "left").select(F.col("node").alias("rep"), "cluster", "block", F.coalesce("lone", F.lit(0)).alias("lone"))
+    keyed = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
+    tagged = cut(with_comp(keyed, comps, "rep", "comp").join(known, "rep", "left"), "tagged")
     mixed = tagged.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "key")
-    left = tagged.join(mixed, ["band", "key"])
-    x, y = left.toDF("band", "key", "a", "ca", "ba"), left.toDF("band", "key", "b", "cb", "bb")
-    rest = x.join(y, ["band", "key"]).where("a < b and ca <> cb and not coalesce(ba = bb, false)").select("a", "b").distinct()
+    left = tagged.join(mixed, ["band", "key"]).select("band", "key", "rep", "n", "comp", "cluster", "block", "lone")
+    side = lambda x: left.toDF("band", "key", *[f"{c}_{x}" for c in left.columns[2:]])
+    shared = "least(n_a - lone_a, n_b - lone_b)"
+    near = f"least(n_a, n_b) * 100 >= greatest(n_a, n_b) * {percent} and (not coalesce(cluster_a = cluster_b, false) or (block_a <> block_b and {shared} * 100 >= (n_a + n_b - {shared}) * {percent}))"
+    rest = side("a").join(side("b"), ["band", "key"]).where(f"rep_a < rep_b and comp_a <> comp_b and {near}").select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b")).distinct()
     rest = cut(_estimated(rest, one, percent).select("a", "b"), "rest")
-    links = links.union(_confirmed(rest, docs, "doc_id", "text", words, percent))
+    comps = joined(comps, _confirmed(rest, docs, "doc_id", "text", words, percent), "a", "b")
     discard(tagged, rest, pairs, clusters)
 
-    comps = labels(links)
     by_sig = with_comp(classes.select("sig", "rep"), comps, "rep", "comp").select("sig", "comp")
     out = rows.select("doc_id", "n_shingles", "sig").join(by_sig, "sig", "left")
     comp = F.coalesce("comp", "doc_id")
