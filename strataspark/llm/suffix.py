@@ -9,7 +9,7 @@ equal places, and only suffixes at anchors (about one in 35 bytes) matter.
 2. Each segment finds its anchors. Windows around an anchor whose whole surroundings came before in the segment are
    removed at once. Hashes of the other anchors' grams go, packed, to their buckets, which answer with those that occur
    more than once.
-3. For these, each segment sorts the suffixes at its anchors (with what stands before them, backwards, as the end of the sort
+3. For these, each task sorts the suffixes at its segments' anchors (with what stands before them, backwards, as the end of the sort
    key) and front-codes them: a record holds only what differs from the record before. These runs are exchanged.
 4. Each bucket merges its runs with a loser tree that keeps for each run's head the length of the prefix it shares with
    the last output, and compares only beyond it. What comes out with GRAM bytes or more in common shares an anchor, and there
@@ -38,7 +38,9 @@ from pyspark.sql import functions as F
 from .common import cut, parts, ready
 
 LENGTH, GRAM = 100, 32
-SEGMENT = 8_000_000
+SEGMENT = 2_000_000
+#: Bytes of sort keys that a task gathers from its segments before it hands on sorted runs.
+RUN = 16_000_000
 #: Surroundings of one gram that meet in one task.
 HOT = 20_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -144,7 +146,7 @@ def sort_key(blob: bytes, p: int, lo: int, hi: int) -> bytes:
     return blob[p : hi + LENGTH].ljust(LENGTH, b"\0") + blob[lo:p][::-1]
 
 
-def front_coded(keys: list[bytes], p: np.ndarray, before: np.ndarray, after: np.ndarray, doc: np.ndarray) -> bytes:
+def front_coded(keys: list[bytes], p: np.ndarray, before: np.ndarray, after: np.ndarray, doc: np.ndarray, seg: np.ndarray) -> bytes:
     """A sorted run. before, after: how many bytes before its anchor a record's first and last window start."""
     order = sorted(range(len(keys)), key=keys.__getitem__)
     width = max(map(len, keys))
@@ -153,20 +155,20 @@ def front_coded(keys: list[bytes], p: np.ndarray, before: np.ndarray, after: np.
     differ = np.concatenate([m[1:] != m[:-1], np.ones((len(m) - 1, 1), bool)], 1)
     shared = np.concatenate([[0], np.minimum(differ.argmax(1), np.minimum(size[1:], size[:-1]))]).astype(np.uint8)
     rest = b"".join(keys[i][s:] for i, s in zip(order, shared.tolist(), strict=True))
-    return packed(shared, size, before[order].astype(np.uint8), after[order].astype(np.uint8), p[order].astype(np.int64), doc[order].astype(np.int64), np.frombuffer(rest, np.uint8))
+    return packed(shared, size, before[order].astype(np.uint8), after[order].astype(np.uint8), p[order].astype(np.int64), doc[order].astype(np.int64), seg[order].astype(np.int64), np.frombuffer(rest, np.uint8))
 
 
 # ---- merging runs
 
 
-def run_of(raw: bytes, seg: int):
+def run_of(raw: bytes):
     """Yields (shared prefix with the record before, key, record) of a run."""
-    shared, size, before, after, p, doc, rest = unpacked(raw)
+    shared, size, before, after, p, doc, seg, rest = unpacked(raw)
     rest, at, key = rest.tobytes(), 0, b""
-    for s, n, b, a, x, d in zip(shared.tolist(), size.tolist(), before.tolist(), after.tolist(), p.tolist(), doc.tolist(), strict=True):
+    for s, n, b, a, x, d, g in zip(*(c.tolist() for c in (shared, size, before, after, p, doc, seg)), strict=True):
         key = key[:s] + rest[at : at + n - s]
         at += n - s
-        yield s, key, (d, seg, x, b, a)
+        yield s, key, (d, g, x, b, a)
 
 
 def shared_prefix(a: bytes, b: bytes, known: int) -> int:
@@ -290,7 +292,7 @@ def _anchors(row: dict) -> Anchors:
     return Anchors(row["blob"].as_py(), row["sizes"].values.to_numpy(zero_copy_only=False))
 
 
-def _asked(segs: DataFrame, buckets: int) -> DataFrame:
+def _asked(segs: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
     """For each segment the grams that occur more than once anywhere (often: and those that are hot)."""
 
     def ask(batches):
@@ -313,7 +315,7 @@ def _asked(segs: DataFrame, buckets: int) -> DataFrame:
         for g, _ in data:
             n = total[to.ravel()[at : at + len(g)]]
             at += len(g)
-            out.append(packed(g[n > 1], g[n > HOT]) if (n > 1).any() else None)
+            out.append(packed(g[n > 1], g[n > hot]) if (n > 1).any() else None)
         keep = [i for i, x in enumerate(out) if x]
         return pa.table({"seg": pa.array([seg[i] for i in keep], pa.int64()), "data": pa.array([out[i] for i in keep], pa.binary())})
 
@@ -325,31 +327,48 @@ def _runs(segs: DataFrame, asked: DataFrame, buckets: int) -> DataFrame:
     names = ["kind", "bucket", "seg", "doc", "start", "data"]
 
     def run(batches):
+        gathered, size = [], 0
+
+        def table(rows):
+            for at in range(0, len(rows), 20_000):
+                part = list(zip(*rows[at : at + 20_000], strict=True))
+                kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, kinds, strict=True)], names)
+
+        def sorted_runs():
+            keys = [k for g in gathered for k in g[0]]
+            to, p, before, after, doc, seg = (np.concatenate([g[i] for g in gathered]) for i in range(1, 7))
+            order = np.argsort(to, kind="stable")
+            rows = []
+            for g in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+                rows.append((1, int(to[g[0]]), None, None, None, front_coded([keys[i] for i in g], p[g], before[g], after[g], doc[g], seg[g])))
+            return rows
+
         for b in batches:
             for row in _each(b):
                 seg, a = row["seg"].as_py(), _anchors(row)
                 ids = np.array([_LEAST if i is None else i for i in row["ids"].as_py()], np.int64)
                 ends = np.cumsum(row["sizes"].values.to_numpy(zero_copy_only=False))
-                rows = [(0, None, seg, None, None, packed(a.repeats))] if len(a.repeats) else []
+                if len(a.repeats):
+                    yield from table([(0, None, seg, None, None, packed(a.repeats))])
                 lists = [unpacked(x) for x in row["lists"].as_py() or []]
-                if lists:
-                    often = np.isin(a.gram, np.concatenate([x for x, _ in lists]))
-                    hot = np.isin(a.gram, np.concatenate([x for _, x in lists]))
-                    doc = ids[np.searchsorted(ends, a.p, side="right")]
-                    for i in np.flatnonzero(hot).tolist():
-                        rows += [(2, None, seg, int(doc[i]), s, xxhash.xxh3_128_digest(a.blob[s : s + LENGTH])) for s in range(int(a.lo[i]), int(a.hi[i]) + 1)]
-                    pick = np.flatnonzero(often & ~hot)
-                    to = (a.gram[pick] % np.uint64(buckets)).astype(np.int64)
-                    order = np.argsort(to, kind="stable")
-                    for g in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
-                        if len(g):
-                            k = pick[g]
-                            keys = [sort_key(a.blob, p, lo, hi) for p, lo, hi in zip(a.p[k].tolist(), a.lo[k].tolist(), a.hi[k].tolist(), strict=True)]
-                            rows.append((1, int(to[g[0]]), seg, None, None, front_coded(keys, a.p[k], a.p[k] - a.lo[k], a.p[k] - a.hi[k], doc[k])))
-                for at in range(0, len(rows), 20_000):
-                    part = list(zip(*rows[at : at + 20_000], strict=True))
-                    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(part, kinds, strict=True)], names)
+                if not lists:
+                    continue
+                often = np.isin(a.gram, np.concatenate([x for x, _ in lists]))
+                hot = np.isin(a.gram, np.concatenate([x for _, x in lists]))
+                doc = ids[np.searchsorted(ends, a.p, side="right")]
+                for i in np.flatnonzero(hot).tolist():
+                    yield from table([(2, None, seg, int(doc[i]), s, xxhash.xxh3_128_digest(a.blob[s : s + LENGTH])) for s in range(int(a.lo[i]), int(a.hi[i]) + 1)])
+                k = np.flatnonzero(often & ~hot)
+                if len(k):
+                    keys = [sort_key(a.blob, p, lo, hi) for p, lo, hi in zip(a.p[k].tolist(), a.lo[k].tolist(), a.hi[k].tolist(), strict=True)]
+                    gathered.append((keys, (a.gram[k] % np.uint64(buckets)).astype(np.int64), a.p[k], a.p[k] - a.lo[k], a.p[k] - a.hi[k], doc[k], np.full(len(k), seg)))
+                    size += sum(map(len, keys))
+                    if size > RUN:
+                        yield from table(sorted_runs())
+                        gathered, size = [], 0
+        if gathered:
+            yield from table(sorted_runs())
 
     # a list from each bucket that has something of the segment
     lists = asked.groupBy("seg").agg(F.collect_list("data").alias("lists"))
@@ -362,7 +381,7 @@ def _found(runs: DataFrame) -> DataFrame:
     def merge(t: pa.Table) -> pa.Table:
         found: dict[int, list] = {}
         group: list = []
-        for known, key, rec in merged([run_of(x.as_py(), s) for x, s in zip(t["data"], t["seg"].to_pylist(), strict=True)]):
+        for known, key, rec in merged([run_of(x.as_py()) for x in t["data"]]):
             if known < GRAM:
                 if len(group) > 1:
                     resolve(group, found)
@@ -372,18 +391,18 @@ def _found(runs: DataFrame) -> DataFrame:
             resolve(group, found)
         return pa.table({"seg": pa.array(list(found), pa.int64()), "data": pa.array([packed(np.array(x, np.int64).reshape(-1, 2)) for x in found.values()], pa.binary())})
 
-    return runs.where("kind = 1").select("bucket", "seg", "data").groupBy("bucket").applyInArrow(merge, "seg long, data binary")
+    return runs.where("kind = 1").select("bucket", "data").groupBy("bucket").applyInArrow(merge, "seg long, data binary")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, hot: int = HOT) -> DataFrame:
     """id, n_bytes, n_removed, n_spans (removed runs), kept_sha256, and kept, the bytes that stay."""
     spark = ready(docs.sparkSession)
     buckets = parts(spark)
     segs = segments(docs, id_col, text_col)
-    runs = _runs(segs, _asked(segs, buckets), buckets)
-    hot = runs.where("kind = 2").select("data", "doc", "seg", "start")
-    own = hot.groupBy("data").agg(F.min(F.struct("doc", "seg", "start")).alias("first"))
-    late = hot.join(own, "data").where("struct(doc, seg, start) > first").groupBy("seg").agg(F.collect_list("start").alias("starts"))
+    runs = _runs(segs, _asked(segs, buckets, hot), buckets)
+    windows = runs.where("kind = 2").select("data", "doc", "seg", "start")
+    own = windows.groupBy("data").agg(F.min(F.struct("doc", "seg", "start")).alias("first"))
+    late = windows.join(own, "data").where("struct(doc, seg, start) > first").groupBy("seg").agg(F.collect_list("start").alias("starts"))
     spans = runs.where("kind = 0").select("seg", "data").union(_found(runs)).groupBy("seg").agg(F.collect_list("data").alias("spans"))
     both = segs.join(spans, "seg", "left").join(late, "seg", "left")
     names = [id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if keep_bytes else [])]
