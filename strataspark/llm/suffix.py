@@ -5,7 +5,7 @@ where it repeats; strings are judged on the input. Not every suffix has to be so
 bytes the GRAM-byte string of least hash (the first, if several) is its anchor, so equal windows have equal anchors at
 equal places, and only suffixes at anchors (about one in 35 bytes) matter.
 
-1. Texts are packed into segments of about SEGMENT bytes, in a table.
+1. Texts are packed into segments of about SEGMENT bytes, compressed, in a table.
 2. Each segment finds its anchors. Windows around an anchor whose whole surroundings came before in the segment are
    removed at once. Hashes of the other anchors' grams go, packed, to their buckets, which answer with those that occur
    more than once.
@@ -263,7 +263,7 @@ def segments(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             nonlocal rows, size, n
             rows.sort(key=lambda r: _LEAST if r[0] is None else r[0])
             out = pa.RecordBatch.from_arrays(
-                [pa.array([part << 32 | n], pa.int64()), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([[len(r[1]) for r in rows]], pa.list_(pa.int64())), pa.array([b"".join(r[1] for r in rows)], pa.binary())],
+                [pa.array([part << 32 | n], pa.int64()), pa.array([[r[0] for r in rows]], pa.list_(pa.int64())), pa.array([[len(r[1]) for r in rows]], pa.list_(pa.int64())), pa.array([zstandard.ZstdCompressor(level=1).compress(b"".join(r[1] for r in rows))], pa.binary())],
                 ["seg", "ids", "sizes", "blob"],
             )
             rows, size, n = [], 0, n + 1
@@ -288,8 +288,12 @@ def _each(b: pa.RecordBatch):
         yield {k: b.column(j)[i] for j, k in enumerate(b.schema.names)}
 
 
+def _text(row: dict) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(row["blob"].as_py())
+
+
 def _anchors(row: dict) -> Anchors:
-    return Anchors(row["blob"].as_py(), row["sizes"].values.to_numpy(zero_copy_only=False))
+    return Anchors(_text(row), row["sizes"].values.to_numpy(zero_copy_only=False))
 
 
 def _asked(segs: DataFrame, buckets: int, hot: int = HOT) -> DataFrame:
@@ -410,7 +414,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def run(batches):
         for b in batches:
             for row in _each(b):
-                x = np.frombuffer(row["blob"].as_py(), np.uint8)
+                x = np.frombuffer(_text(row), np.uint8)
                 change = np.zeros(len(x) + 1, np.int32)
                 for raw in row["spans"].as_py() or []:
                     s = unpacked(raw)[0].reshape(-1, 2)
