@@ -45,10 +45,12 @@ def shared_dir(spark: SparkSession) -> str:
     return set_to.rstrip("/")
 
 
-def cut(df: DataFrame, label: str) -> DataFrame:
+def cut(df: DataFrame, label: str, slim: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it again: the plan behind it is not run twice, and a lost executor
-    costs only a reread."""
+    costs only a reread. slim: rows of a few numbers, so that a file may hold those of eight partitions."""
     spark = df.sparkSession
+    if slim:
+        df = df.coalesce(max(1, parts(spark) // 8))
     path = f"{shared_dir(spark)}/strata/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

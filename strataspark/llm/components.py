@@ -27,9 +27,9 @@ def _small(e: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, comp: the smallest node reachable, for every node of a link that isn't itself the smallest. Links with a null
     end, and of a node to itself, count for nothing."""
-    now = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "links")
+    now = cut(edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u <> v").distinct(), "links", slim=True)
     while True:
-        new = cut(_small(_large(now)).distinct(), "stars")
+        new = cut(_small(_large(now)).distinct(), "stars", slim=True)
         discard(now)
         now = new
         if _stars(now):
@@ -52,4 +52,4 @@ def joined(comps: DataFrame, links: DataFrame, a: str, b: str) -> DataFrame:
 
     more = components(top(top(links.select(a, b), a), b), a, b)
     moved = comps.join(more.toDF("comp", "__c"), "comp", "left").select("node", F.coalesce("__c", "comp").alias("comp"))
-    return cut(moved.union(more), "components")
+    return cut(moved.union(more), "components", slim=True)

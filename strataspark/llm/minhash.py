@@ -37,7 +37,7 @@ from .components import components, joined
 
 BANDS, BUCKETS, ROOT_BITS = 24, 4, 10
 CUT = 0.6
-BLOCK = 192
+BLOCK = 512
 #: Ids (8 bytes) up to which a table of them is broadcast to a scan of the texts; beyond that the texts are shuffled.
 SMALL_IDS = 2_000_000
 EMPTY = 0xFFFF
@@ -265,12 +265,12 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     pairs = cut(_estimated(_neighbours(bandrows), one, percent), "pairs")
     clusters = components(pairs, "a", "b")
-    clusters = cut(clusters.union(clusters.select(F.col("comp").alias("node"), "comp").distinct()).toDF("node", "cluster"), "clusters")
+    clusters = cut(clusters.union(clusters.select(F.col("comp").alias("node"), "comp").distinct()).toDF("node", "cluster"), "clusters", slim=True)
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    blocks = cut(clusters.join(sizes, "cluster").select("node", "cluster", "blocks", F.expr("pmod(xxhash64(node), blocks)").alias("block")), "blocks")
+    blocks = cut(clusters.join(sizes, "cluster").select("node", "cluster", "blocks", F.expr("pmod(xxhash64(node), blocks)").alias("block")), "blocks", slim=True)
     sets = _sets(docs, blocks, "doc_id", "text", words)
     members = cut(blocks.join(sets, "node").join(one.select(F.col("rep").alias("node"), "bands"), "node"), "members")
-    lone = cut(_lone_counts(members.where("blocks > 1")), "lone")
+    lone = cut(_lone_counts(members.where("blocks > 1")), "lone", slim=True)
     links = cut(_block_links(members, percent), "block_links")
     discard(members)
 
@@ -283,7 +283,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         # between the blocks of a cluster: the best candidate of each two parts
         across = with_comp(with_comp(pairs.join(split.toDF("a"), "a", "left_semi"), comps, "a", "ca"), comps, "b", "cb").where("ca <> cb")
         best = across.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(F.max(F.struct("est", "a", "b")).alias("x")).select("x.a", "x.b")
-        comps = joined(comps, _confirmed(cut(best, "best"), docs, "doc_id", "text", words, percent), "a", "b")
+        comps = joined(comps, _confirmed(cut(best, "best", slim=True), docs, "doc_id", "text", words, percent), "a", "b")
 
     # whatever else shares a key: of other components, and not of one block, where all pairs were tried. Within a cluster a pair
     # can't link if too many of its shingles stand in no other set of the cluster
