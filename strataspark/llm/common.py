@@ -26,6 +26,9 @@ def ready(spark: SparkSession) -> SparkSession:
     parts = [p for p in env.get("PYTHONPATH", "").split(":") if p]
     if ROOT not in parts:
         env["PYTHONPATH"] = ":".join([*parts, ROOT])
+    # workers give freed memory back, rather than each keep its largest batch's
+    for k, v in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_ARENA_MAX", "2"), ("MALLOC_TRIM_THRESHOLD_", "1000000"), ("MALLOC_MMAP_THRESHOLD_", "262144")):
+        env.setdefault(k, v)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")

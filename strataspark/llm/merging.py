@@ -19,7 +19,7 @@ import tiktoken
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Entries of a worker's memo of chunks; beyond that only those of the current batch stay, which changes no result.
-MEMO = 500_000
+MEMO = 250_000
 
 PLAIN = re.compile("[\x01-ɏ]*").fullmatch
 #: White space that seldom stands in a text.

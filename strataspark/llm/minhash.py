@@ -67,7 +67,7 @@ class Shingles:
         if not found:
             return np.zeros(0, np.uint64)
         memo = self.memo
-        if len(memo) > 300_000:
+        if len(memo) > 150_000:
             memo.clear()
         for w in set(found):
             if w not in memo:
