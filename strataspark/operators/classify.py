@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.staging import ready
 
@@ -127,7 +128,7 @@ def softmax_regression(df: DataFrame, features: str = "features", label: str = "
 def predict(df: DataFrame, model: dict, features: str = "features") -> DataFrame:
     """df with probabilities and predicted_label (the first of the largest)."""
     m = ready(df.sparkSession).sparkContext.broadcast(model)
-    schema = df.schema.add("probabilities", "array<double>").add("predicted_label", "string")
+    schema = T.StructType(df.schema.fields).add("probabilities", T.ArrayType(T.DoubleType())).add("predicted_label", "string")
 
     def run(batches):
         v = m.value

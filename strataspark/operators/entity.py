@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import blank, py_strip, wiki_url
 
 _CLAIM = "array<struct<mainsnak:struct<datavalue:struct<value:string>>,value:struct<type:string,content:string>>>"
 #: Labels and aliases hold strings or objects; as strings, objects come as their JSON.
-ENTITY = T._parse_datatype_string(
-    "id string, type string, labels map<string,string>, aliases map<string,array<string>>, "
-    f"claims map<string,{_CLAIM}>, statements map<string,{_CLAIM}>, sitelinks map<string,struct<title:string>>"
-)
+_FIELDS = {
+    "id": "string", "type": "string", "labels": "map<string,string>", "aliases": "map<string,array<string>>", "claims": f"map<string,{_CLAIM}>",
+    "statements": f"map<string,{_CLAIM}>", "sitelinks": "map<string,struct<title:string>>",
+}
+ENTITY = "struct<" + ",".join(f"{k}:{v}" for k, v in _FIELDS.items()) + ">"
 
 
 def parse(df: DataFrame, text_col: str = "value") -> DataFrame:
@@ -21,7 +21,7 @@ def parse(df: DataFrame, text_col: str = "value") -> DataFrame:
     be brackets only; what is no entity is left out."""
     line = F.regexp_replace(F.trim(F.col(text_col)), r",\s*$", "")
     bare = F.from_json(line, ENTITY)
-    inner = F.get(F.map_values(F.from_json(F.get_json_object(line, "$.entities"), T.MapType(T.StringType(), ENTITY))), 0)
+    inner = F.get(F.map_values(F.from_json(F.get_json_object(line, "$.entities"), f"map<string,{ENTITY}>")), 0)
     ok = (F.coalesce(bare["id"], F.lit("")) != "") & (F.coalesce(bare["type"], F.lit("")) != "")
     return df.withColumn("entity", F.when(ok, bare).otherwise(inner)).where("entity.id is not null")
 

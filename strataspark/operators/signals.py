@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.staging import ready
 
@@ -36,7 +37,7 @@ def cut_samples(df: DataFrame, wave: str, rate: str, window_s: float, overlap_s:
 def resampled(df: DataFrame, wave: str, rate: str, target: int) -> DataFrame:
     """Linear resampling to another rate: positions are spread evenly, ends excluded."""
     ready(df.sparkSession)
-    schema = df.drop("samples").schema.add("samples", "array<float>")
+    schema = df.drop("samples").schema.add("samples", T.ArrayType(T.FloatType()))
 
     def run(batches):
         for b in batches:
@@ -57,7 +58,7 @@ def encoded(df: DataFrame, encoder, fields: list[str], out: str = "embedding") -
     """df with an embedding and an error text, by encoder(list of field tuples) -> list of vectors. A batch that fails is tried row
     by row, so that one bad row costs no other."""
     ready(df.sparkSession)
-    schema = df.drop(out, "error").schema.add(out, "array<float>").add("error", "string")
+    schema = df.drop(out, "error").schema.add(out, T.ArrayType(T.FloatType())).add("error", "string")
 
     def run(batches):
         for b in batches:

@@ -19,7 +19,7 @@ def tsv(spark: SparkSession, path: str, schema: str | T.StructType | None = None
 
 
 def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("sep", "\t").option("header", True).option("emptyValue", "").option("nullValue", "").csv(path)
+    df.write.mode(mode).option("sep", "\t").option("header", True).option("escape", '"').option("emptyValue", "").option("nullValue", "").csv(path)
 
 
 def ids(spark: SparkSession, path: str, column: str = "qid") -> DataFrame:

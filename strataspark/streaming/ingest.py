@@ -23,12 +23,12 @@ def extract_stream(entities: DataFrame, targets: DataFrame, key: str = "qid") ->
 
 def deduplicated(events: DataFrame, key: list[str], ts: str, late: str = "10 minutes") -> DataFrame:
     """Each key once; keys older than the watermark are forgotten."""
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
 
 
 def tumbling(events: DataFrame, ts: str, size: str, keys: list[str], late: str = "10 minutes") -> DataFrame:
     """Counts and sums by window, closed when the watermark has passed."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, size), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, size), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def append(df: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
