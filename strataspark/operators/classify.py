@@ -128,7 +128,7 @@ def softmax_regression(df: DataFrame, features: str = "features", label: str = "
 def predict(df: DataFrame, model: dict, features: str = "features") -> DataFrame:
     """df with probabilities and predicted_label (the first of the largest)."""
     m = ready(df.sparkSession).sparkContext.broadcast(model)
-    schema = T.StructType(df.schema.fields).add("probabilities", T.ArrayType(T.DoubleType())).add("predicted_label", "string")
+    schema = T.StructType([*df.schema.fields, T.StructField("probabilities", T.ArrayType(T.DoubleType())), T.StructField("predicted_label", T.StringType())])
 
     def run(batches):
         v = m.value
