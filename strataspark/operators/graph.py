@@ -69,6 +69,8 @@ def descendants(nodes: DataFrame, edges: DataFrame, root: str, max_depth: int |
     e = edges.select(F.col("parent_qid").alias("__p"), F.col("child_qid").alias("__c"))
     known = nodes.select(F.col("qid").alias("__c"))
     e = e.join(known, "__c", "left_semi")
+    if max_depth is None or max_depth > 2:
+        e = staged(e, "edges")  # each level joins with it
     while max_depth is None or step < max_depth:
         step += 1
         level = level.join(e, F.col("qid") == F.col("__p")).where(~F.array_contains("__path", F.col("__c"))).select(F.col("__c").alias("qid"), (F.col("depth") + 1).alias("depth"), F.array_append("__path", F.col("__c")).alias("__path"))
@@ -86,8 +88,8 @@ def descendants(nodes: DataFrame, edges: DataFrame, root: str, max_depth: int |
 def closure(nodes: DataFrame, parent: str = "parent_taxon", max_levels: int | None = None) -> DataFrame:
     """(qid, ancestor, distance) of every node, by the parent attribute: chains end at a missing node or a cycle; self is
     left out. Starts from every node, since a real taxonomy is a forest."""
-    up = nodes.select(F.col("qid").alias("__q"), F.col(parent).alias("__up"))
-    level = nodes.select("qid", F.col("qid").alias("ancestor"), F.lit(0).alias("distance"), F.col(parent).alias("__next"), F.array("qid").alias("__seen"))
+    up = staged(nodes.select(F.col("qid").alias("__q"), F.col(parent).alias("__up")), "parents")
+    level = up.select(F.col("__q").alias("qid"), F.col("__q").alias("ancestor"), F.lit(0).alias("distance"), F.col("__up").alias("__next"), F.array("__q").alias("__seen"))
     out, step = None, 0
     while max_levels is None or step < max_levels:
         step += 1
