@@ -49,7 +49,7 @@ class Memo(dict):
 class Merger:
     """spec: the text of a tokenizers file. lexicon: ids of frequent words, by byte-level files only."""
 
-    def __init__(self, spec: str, lexicon=None):
+    def __init__(self, spec: str, lexicon=None, memo: int = MEMO):
         from tokenizers import Tokenizer
 
         j = json.loads(spec)
@@ -58,6 +58,7 @@ class Merger:
         self.library.no_truncation()
         self.library.no_padding()
         self.lexicon = lexicon
+        self.memo = memo
         self.suffix = model.get("end_of_word_suffix") or ""
         self.special = {x["content"]: x["id"] for x in j["added_tokens"]}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
@@ -121,12 +122,12 @@ class Merger:
             for _, rest in cut:
                 need.update(rest or ())
         known = self.rest
-        if len(known) > MEMO:
+        if len(known) > self.memo:
             stay = {x: known[x] for x in need if x in known}
             known.clear()
             known.update(stay)
         self._fill_rest([x for x in need if x not in known], known)
-        if len(self.first) > MEMO // 10:
+        if len(self.first) > self.memo // 10:
             self.first.clear()
         get, first = known.__getitem__, self.first
         out = []
@@ -194,8 +195,8 @@ class Merger:
 
 
 @functools.lru_cache(maxsize=2)
-def merger(spec: str, lexicon: bytes = b"") -> Merger:
+def merger(spec: str, lexicon: bytes = b"", memo: int = MEMO) -> Merger:
     """One for a worker: its tables take a second to build, and the memo serves later tasks."""
     from .lexicon import Lexicon
 
-    return Merger(spec, Lexicon.mapped(lexicon) if lexicon else None)
+    return Merger(spec, Lexicon.mapped(lexicon) if lexicon else None, memo)

@@ -29,6 +29,8 @@ FILE = "word_bpe_49k.json"
 END_ID = 1
 #: Tokens of a shard, at most one document more. A task's range is written as several shards beyond that.
 SHARD_TOKENS = 1_000_000
+#: Chunks in a worker's memo, about 200 bytes each.
+MEMO = 700_000
 #: Shards up to which the table of their sums (20 bytes each) is broadcast; beyond that it is joined by a shuffle.
 SMALL_SHARDS = 500_000
 BLOCK = 512  # bits between rank samples
@@ -155,7 +157,7 @@ def write_shards(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str
     def run(batches):
         from pyspark import TaskContext
 
-        m = merger(shared.value)
+        m = merger(shared.value, memo=MEMO)
         part, shard = TaskContext.get().partitionId(), 0
         ids, docs, size = [], [], 0
 
