@@ -221,19 +221,20 @@ def _block_links(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _lone_counts(members: DataFrame) -> DataFrame:
-    """node, lone: how many of its shingles no other member of its cluster has. Blocks leave out what two of theirs share, so only
-    few shingles are exchanged."""
+    """node, lone: how many of its shingles no other member of its cluster has, in whatever block. A block sends one row for each
+    distinct shingle, with the set that holds it, or with none if two or more of its sets do."""
 
     def run(t: pa.Table) -> pa.Table:
         sets = [np.frombuffer(x, np.uint64) for x in t["set"].to_pylist()]
         every, count = np.unique(np.concatenate(sets), return_counts=True)
-        once = every[count == 1]
+        once, more = every[count == 1], every[count > 1]
         lone = [x[np.isin(x, once, assume_unique=True)] for x in sets]
         n = [len(x) for x in lone]
-        return pa.table({"cluster": pa.array([t["cluster"][0].as_py()] * sum(n), pa.int64()), "shingle": pa.array(np.concatenate(lone).view(np.int64)), "node": pa.array(np.repeat(t["node"].to_numpy(), n), pa.int64())})
+        node = pa.concat_arrays([pa.array(np.repeat(t["node"].to_numpy(), n), pa.int64()), pa.nulls(len(more), pa.int64())])
+        return pa.table({"cluster": pa.array([t["cluster"][0].as_py()] * len(node), pa.int64()), "shingle": pa.array(np.concatenate([*lone, more]).view(np.int64)), "node": node})
 
     seen = members.select("cluster", "block", "node", "set").groupBy("cluster", "block").applyInArrow(run, "cluster long, shingle long, node long")
-    return seen.groupBy("cluster", "shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1").groupBy("node").agg(F.count("*").alias("lone"))
+    return seen.groupBy("cluster", "shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1 and node is not null").groupBy("node").agg(F.count("*").alias("lone"))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:

@@ -73,6 +73,28 @@ def test_one_block_is_not_enough_for_a_large_group(spark):
     assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id", "kept").collect()) == brute(rows, 3, 85)
 
 
+def test_shingles_that_another_block_holds_twice_are_not_lone(spark, monkeypatch):
+    # one cluster of families in two blocks; of a family (x, y, z) x links to y only, by a hair, and the estimate may prefer z
+    monkeypatch.setattr(minhash, "BLOCK", 60)
+    base, rows = [f"w{i}" for i in range(200)], []
+    for g in range(40):
+        x = [f"f{g}_{i}" if i < 30 else w for i, w in enumerate(base)]
+        y = [f"y{g}_{i}" if 100 <= i < 114 else w for i, w in enumerate(x)]
+        z = [f"z{g}" if i == 114 else w for i, w in enumerate(y)]
+        rows += [(3 * g + k, " ".join(t)) for k, t in enumerate((x, y, z))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85)
+    want = brute(rows, 3, 85)
+    assert len({r[2] for r in want}) == 40
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id", "kept").collect()) == want
+
+
+def test_lone_counts_over_blocks(spark):
+    sets = {1: (0, [1, 2, 3, 4]), 2: (1, [2, 3, 5]), 3: (1, [2, 3, 6]), 4: (2, [4, 7])}
+    rows = [(9, b, k, np.array(x, np.uint64).tobytes()) for k, (b, x) in sets.items()]
+    got = minhash._lone_counts(spark.createDataFrame(rows, "cluster long, block long, node long, set binary")).collect()
+    assert {r.node: r.lone for r in got} == {1: 1, 2: 1, 3: 1, 4: 1}
+
+
 def test_estimate_and_compression():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)
