@@ -5,7 +5,8 @@ start (one of MARKERS), whether it opens a message, whether the message opens th
 are, how many lines the message has, and whether the message ends with a question mark. Hidden states are the roles;
 from line to line within a message the role stays, between messages it follows transition odds. Both are counted from
 transcripts with known roles (a few hundred sums), with priors that make a marker decisive. Viterbi's recurrence gives the
-roles; neighbouring messages of one role are one turn, rendered as `<|role|>\\ntext\\n<|end|>` without markers.
+roles; neighbouring messages of one role are one turn, rendered as `<|role|>\\ntext\\n<|end|>` without markers, a line of text
+for each message's.
 
 A transcript of any length is split into stretches of STRETCH turn numbers: each stretch gives its best-path table (states
 by states), the tables of a long transcript are combined in order, and stretches are decoded each for itself between
@@ -22,7 +23,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -50,15 +51,17 @@ def mark_of(line: str) -> tuple[int, int]:
 
 
 def message_features(text: str, first: bool) -> list[int]:
-    """Slots of a message's features in the table of emission counts."""
+    """Slots of a message's features in the table of emission counts; one for the length of each of its lines."""
     n = min(BUCKETS - 1, len(text).bit_length())
     fine = min(BUCKETS - 1, len(text) // 100)
     lines = min(BUCKETS - 1, text.count("\n"))
-    return [n, BUCKETS + fine, 2 * BUCKETS + lines, 3 * BUCKETS + first, 3 * BUCKETS + 2 + text.rstrip().endswith("?")]
+    of_lines = [LINES + min(BUCKETS - 1, len(x).bit_length()) for x in text.split("\n")]
+    return [n, BUCKETS + fine, 2 * BUCKETS + lines, 3 * BUCKETS + first, 3 * BUCKETS + 2 + text.rstrip().endswith("?"), *of_lines]
 
 
-SLOTS = 3 * BUCKETS + 4
-GROUPS = [(0, BUCKETS), (BUCKETS, 2 * BUCKETS), (2 * BUCKETS, 3 * BUCKETS), (3 * BUCKETS, 3 * BUCKETS + 2), (3 * BUCKETS + 2, SLOTS)]
+LINES = 3 * BUCKETS + 4
+SLOTS = LINES + BUCKETS
+GROUPS = [(0, BUCKETS), (BUCKETS, 2 * BUCKETS), (2 * BUCKETS, 3 * BUCKETS), (3 * BUCKETS, 3 * BUCKETS + 2), (3 * BUCKETS + 2, LINES), (LINES, SLOTS)]
 
 
 class Hmm:
@@ -81,12 +84,15 @@ class Hmm:
                 s[role] += MARKED
         return s + (self.begin if first else 0)
 
-    def table(self, e: np.ndarray) -> np.ndarray:
-        """Best sums over messages with scores e, by the role before the first and the role of the last."""
+    def table(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best sums over messages with scores e, by the role before the first and the role of the last; and the first role."""
         m = self.move + e[0]
+        first = np.tile(np.arange(len(ROLES)), (len(ROLES), 1))
         for x in e[1:]:
-            m = (m[:, :, None] + self.move[None]).max(1) + x
-        return m
+            both = m[:, :, None] + self.move[None]
+            first = np.take_along_axis(first, both.argmax(1), 1)
+            m = both.max(1) + x
+        return m, first
 
     def decode(self, e: np.ndarray, before: int = -1, last: int = -1) -> list[int]:
         """The best roles of messages with scores e; before: the role ahead of them, last: that of the last, if known."""
@@ -116,7 +122,7 @@ def fit(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
             for c, g, n, r, t, n0 in zip(*(x.to_pylist() for x in b.columns), strict=True):
                 k = ROLES.index(r) if r in ROLES else -1
                 if k >= 0:
-                    emit[k, message_features(t, n == n0)] += 1
+                    np.add.at(emit[k], message_features(t, n == n0), 1)
                     begin[k] += n == n0
                     if last is not None and last[:2] == (c, g) and last[2] >= 0:
                         move[last[2], k] += 1
@@ -148,7 +154,8 @@ def _stretches(batches, width: int):
 
 
 def roles(messages: DataFrame, model: Hmm, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """conv_id, turn, text (as it was) and role_pred of every message."""
+    """conv_id, turn, text (as it was) and role_pred of every message, and whether it opens and closes a turn: the message before
+    or after it in the transcript, of whatever stretch, is of another role or there is none."""
     spark = ready(messages.sparkSession)
     shared = spark.sparkContext.broadcast(model)
     base = messages.select(F.col(conv_col).alias("c"), F.floor(F.col(turn_col) / STRETCH).cast("long").alias("g"), F.col(turn_col).alias("n"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(text_col).alias("raw"))
@@ -164,12 +171,14 @@ def roles(messages: DataFrame, model: Hmm, conv_col: str = "conv_id", turn_col:
         m = shared.value
         for rows in _stretches(batches, 4):
             e = np.array([m.scores(t, bool(f)) for _, _, t, f in rows])
-            best = np.tile(_from_start(m, e), (len(ROLES), 1)) if rows[0][3] else m.table(e)
-            yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]], kind), pa.array([rows[0][1]], pa.int64()), pa.array([best.ravel().tolist()], pa.list_(pa.float64()))], ["c", "g", "best"])
+            best, opening = m.table(e)
+            if rows[0][3]:
+                best = np.tile(_from_start(m, e), (len(ROLES), 1))
+            yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]], kind), pa.array([rows[0][1]], pa.int64()), pa.array([best.ravel().tolist()], pa.list_(pa.float64())), pa.array([opening.ravel().tolist()], pa.list_(pa.int32()))], ["c", "g", "best", "opening"])
 
     conv_type = base.schema["c"].dataType
     kind = to_arrow_type(conv_type)
-    per = cut(sorted_(tagged.where("long").select("c", "g", "n", "t", "first")).select("c", "g", "t", "first").mapInArrow(tables, f"c {conv_type.simpleString()}, g long, best array<double>"), "tables")
+    per = cut(sorted_(tagged.where("long").select("c", "g", "n", "t", "first")).select("c", "g", "t", "first").mapInArrow(tables, f"c {conv_type.simpleString()}, g long, best array<double>, opening array<int>"), "tables")
 
     def chain(t: pa.Table) -> pa.Table:
         order = sorted(range(t.num_rows), key=lambda i: (t["g"][i].is_valid, t["g"][i].as_py() or 0))
@@ -183,21 +192,25 @@ def roles(messages: DataFrame, model: Hmm, conv_col: str = "conv_id", turn_col:
         for b in reversed(back):
             last.append(int(b[last[-1]]))
         last = last[::-1]
-        return pa.table({"c": t["c"].take(pa.array(order)), "g": t["g"].take(pa.array(order)), "before": pa.array([-1, *last[:-1]], pa.int32()), "last": pa.array(last, pa.int32())})
+        openings = [t["opening"][i].as_py() for i in order]
+        after = [openings[i + 1][last[i] * len(ROLES) + last[i + 1]] for i in range(len(order) - 1)]
+        return pa.table({"c": t["c"].take(pa.array(order)), "g": t["g"].take(pa.array(order)), "before": pa.array([-1, *last[:-1]], pa.int32()), "last": pa.array(last, pa.int32()), "after": pa.array([*after, -1], pa.int32())})
 
     # one small row for each stretch of a long conversation
-    known = per.groupBy("c").applyInArrow(chain, f"c {conv_type.simpleString()}, g long, before int, last int").toDF("c2", "g2", "before", "last")
+    known = per.groupBy("c").applyInArrow(chain, f"c {conv_type.simpleString()}, g long, before int, last int, after int").toDF("c2", "g2", "before", "last", "after")
     both = tagged.join(known, F.col("c").eqNullSafe(F.col("c2")) & F.col("g").eqNullSafe(F.col("g2")), "left")
     turn_type = base.schema["n"].dataType
 
     def decode(batches):
         m = shared.value
-        for rows in _stretches(batches, 8):
+        for rows in _stretches(batches, 9):
             e = np.array([m.scores(r[3], bool(r[5])) for r in rows])
-            got = m.decode(e, -1 if rows[0][6] is None else rows[0][6], -1 if rows[0][7] is None else rows[0][7])
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[2] for r in rows], to_arrow_type(turn_type)), pa.array([r[4] for r in rows], pa.string()), pa.array([ROLES[k] for k in got])], [conv_col, turn_col, text_col, "role_pred"])
+            before, last, after = (-1 if x is None else x for x in rows[0][6:9])
+            got = m.decode(e, before, last)
+            turned = [x != y for x, y in zip([before, *got], [*got, after], strict=True)]  # before each message, and behind the last
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[2] for r in rows], to_arrow_type(turn_type)), pa.array([r[4] for r in rows], pa.string()), pa.array([ROLES[k] for k in got]), pa.array(turned[:-1]), pa.array(turned[1:])], [conv_col, turn_col, text_col, "role_pred", "opens", "closes"])
 
-    return sorted_(both.select("c", "g", "n", "t", "raw", "first", "before", "last")).mapInArrow(decode, f"{conv_col} {conv_type.simpleString()}, {turn_col} {turn_type.simpleString()}, {text_col} string, role_pred string")
+    return sorted_(both.select("c", "g", "n", "t", "raw", "first", "before", "last", "after")).mapInArrow(decode, f"{conv_col} {conv_type.simpleString()}, {turn_col} {turn_type.simpleString()}, {text_col} string, role_pred string, opens boolean, closes boolean")
 
 
 def _from_start(m: Hmm, e: np.ndarray) -> np.ndarray:
@@ -208,11 +221,10 @@ def _from_start(m: Hmm, e: np.ndarray) -> np.ndarray:
     return v
 
 
-def canonical(found: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """The messages with `rendered`: the canonical form, without the speaker's marker; and `opens`, whether the message
-    begins a turn (its role differs from the one before)."""
-    w = Window.partitionBy(conv_col, F.floor(F.col(turn_col) / STRETCH)).orderBy(turn_col, text_col)
+def canonical(found: DataFrame, text_col: str = "text") -> DataFrame:
+    """The messages of roles() with `rendered`, without the speaker's marker: a message that opens a turn has its header, one that closes
+    it the end mark, so those of a turn joined by line ends are its canonical form."""
     mark = MARK.pattern.replace("^", "(?i)^", 1)
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), F.lit(mark), F.lit(""))
-    opens = F.coalesce(F.lag("role_pred").over(w) != F.col("role_pred"), F.lit(True))
-    return found.withColumn("opens", opens).withColumn("rendered", F.concat(F.lit("<|"), "role_pred", F.lit("|>\n"), text, F.lit("\n<|end|>")))
+    header = F.when(F.col("opens"), F.concat(F.lit("<|"), "role_pred", F.lit("|>\n"))).otherwise("")
+    return found.withColumn("rendered", F.concat(header, text, F.when(F.col("closes"), "\n<|end|>").otherwise("")))

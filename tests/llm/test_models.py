@@ -153,6 +153,28 @@ def test_long_transcripts_are_decoded_as_a_whole(spark):
         assert [got[c, k] for k in range(len(x))] == brute_roles(m, x)
 
 
+def test_turns_go_on_over_stretches(spark):
+    m, rnd = model(), random.Random(8)
+    marks = [r for r in ("User", "Assistant") for _ in range(2)]
+    lines = [f"{marks[k // 3 % 4]}: {rnd.randrange(10**6)}" for k in range(3 * chat.STRETCH + 50)]
+    df = spark.createDataFrame(list(enumerate(lines)), "turn long, text string").withColumn("conv_id", F.lit(1)).repartition(3)
+    got = sorted(chat.canonical(chat.roles(df, m)).collect(), key=lambda r: r.turn)
+    want, roles = [], brute_roles(m, lines)
+    assert any(roles[k - 1] == roles[k] for k in range(chat.STRETCH, len(lines), chat.STRETCH))
+    for k, (r, t) in enumerate(zip(roles, lines, strict=True)):
+        if not k or roles[k - 1] != r:
+            want.append([r])
+        want[-1].append(t.split(": ")[1])
+    assert [r.role_pred for r in got] == roles
+    assert [r.opens for r in got] == [not k or roles[k - 1] != r for k, r in enumerate(roles)]
+    assert "\n".join(r.rendered for r in got) == "\n".join(f"<|{x[0]}|>\n" + "\n".join(x[1:]) + "\n<|end|>" for x in want)
+
+
+def test_lengths_of_lines_are_features():
+    short, long = (chat.message_features(t, False) for t in ("a\nbb\n" + "c" * 60, "a" * 31 + "\n" + "b" * 31 + "\nc"))
+    assert short[:5] == long[:5] and sorted(short[5:]) != sorted(long[5:])
+
+
 def test_markers_decide_and_go(spark):
     m = model()
     lines = ["System: be kind", "Human: hi there", "### Assistant: hello", "<|user|> more?", "assistant is a word here"]
