@@ -658,8 +658,8 @@ def softmax_train(s, d):
 
 @query("transe_train")
 def transe_train(s, d):
-    nodes, edges = graph.build_graph(tax_rows(s, d).where("pos <= 2"))
-    return embedding.transe(edges, size=16, epochs=5)[1]
+    nodes, edges = _tax(s, d)
+    return embedding.transe(edges, size=128, epochs=200)[1]
 
 
 @query("negative_edges")

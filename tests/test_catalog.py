@@ -35,3 +35,15 @@ def test_query_equals_sql(spark, sf, con, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE)))
 def test_other_queries_give_rows(spark, sf, name):
     assert catalog.QUERIES[name](spark, sf).count() > 0
+
+
+def test_transe_trains_on_all_edges(spark, sf, monkeypatch):
+    seen = {}
+
+    def transe(edges, **given):
+        seen.update(given, edges=edges.count())
+        return edges, edges
+
+    monkeypatch.setattr(catalog.embedding, "transe", transe)
+    catalog.QUERIES["transe_train"](spark, sf)
+    assert seen == {"edges": catalog.QUERIES["tax_edges"](spark, sf).count(), "size": 128, "epochs": 200}
