@@ -1,10 +1,11 @@
 """Secret scans by DataFrame functions only (operator 5).
 
-Base kinds are regular expressions: `assign`, `access` and `hex`. The method adds `entropy_hex` and `entropy_text`:
+Base kinds are regular expressions: `assign`, `access` and `hex`. The method adds `entropy_hex` (maximal runs of hex digits, also
+inside longer strings), `entropy_text` and `entropy_case` (letters of one case and digits, as few symbols reach fewer bits):
 over each candidate string of a character class a window slides, the counts of the class's characters change by the
 character that comes and the one that goes, and the window's Shannon entropy follows from a running sum of c*log2(c),
-kept in whole numbers so that it doesn't drift. A candidate whose windows reach the class's entropy becomes one span, from
-the first such window to the last. Candidates on the allow list (digits only, UUIDs, sample words) are left out.
+kept in whole numbers so that it doesn't drift. A candidate with windows that reach the class's entropy is one span as a whole.
+Candidates on the allow list (digits only, UUIDs, sample words between the first such window and the last) are left out.
 
 All spans are in code points, end exclusive. Null and empty texts have none. Repeated rows are scanned each for itself,
 columns with clashing names are replaced, an empty table gives an empty table. The cost is linear in the text; starts
@@ -27,10 +28,14 @@ BASE = {
 WINDOW = 24
 #: Class: characters, candidate pattern, least bits of entropy in a window.
 CLASSES = {
-    "entropy_hex": ("0123456789abcdefABCDEF", r"(?<![0-9A-Za-z+/_=-])[0-9A-Fa-f]{24,}(?![0-9A-Za-z+/_=-])", 3.0),
+    "entropy_hex": ("0123456789abcdefABCDEF", r"(?<![0-9A-Fa-f])[0-9A-Fa-f]{24,}", 3.0),
     "entropy_text": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=", r"(?<![0-9A-Za-z+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9A-Fa-f]*[G-Zg-z+/_=-])[A-Za-z0-9+/_=-]{24,}", 3.9),
+    "entropy_case": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", r"(?<![0-9A-Za-z])(?:(?=[A-Z]*[0-9])(?=[0-9A-F]*[G-Z])[A-Z0-9]{24,}|(?=[a-z]*[0-9])(?=[0-9a-f]*[g-z])[a-z0-9]{24,})(?![0-9A-Za-z])", 3.5),
 }
-ALLOW = r"(?i)^[0-9]+$|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|example|placeholder|sample|dummy|changeme"
+#: Shapes of a whole candidate, words of its hot part.
+ALLOW_SHAPES = r"(?i)^[0-9]+$|^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+ALLOW_WORDS = r"(?i)example|placeholder|sample|dummy|changeme"
+ALLOW = f"{ALLOW_SHAPES}|{ALLOW_WORDS.removeprefix('(?i)')}"
 KINDS = [*BASE, *CLASSES]
 SCALE = 1 << 24
 #: c*log2(c) for each count, and the greatest sum that a window of a given entropy may have.
@@ -86,8 +91,9 @@ def scan(df: DataFrame, text_col: str = "text", out_col: str = "secret_spans") -
     for k, (pattern, group, least) in enumerate(BASE.values()):
         made.append(f"transform(filter({_found('__t', pattern, group)}, m -> length(m.g) >= {least}), m -> named_struct('s', m.s, 'k', {k}, 'e', m.e))")
     for k, (letters, pattern, bits) in enumerate(CLASSES.values(), len(BASE)):
-        hits = f"transform(filter({_found('__t', pattern, 0)}, m -> NOT m.g RLIKE {_q(ALLOW)}), m -> named_struct('s', m.s, 'h', {_hot('m.g', letters, bits)}))"
-        made.append(f"transform(filter({hits}, m -> m.h.a >= 0), m -> named_struct('s', m.s + m.h.a, 'k', {k}, 'e', m.s + m.h.b))")
+        hits = f"transform(filter({_found('__t', pattern, 0)}, m -> NOT m.g RLIKE {_q(ALLOW_SHAPES)}), m -> named_struct('s', m.s, 'e', m.e, 'g', m.g, 'h', {_hot('m.g', letters, bits)}))"
+        hot = "substring(m.g, m.h.a + 1, m.h.b - m.h.a)"
+        made.append(f"transform(filter({hits}, m -> m.h.a >= 0 AND NOT {hot} RLIKE {_q(ALLOW_WORDS)}), m -> named_struct('s', m.s, 'k', {k}, 'e', m.e))")
     return df.withColumn(out_col, F.expr(f"array_sort(concat({', '.join(made)}))")).drop("__t")
 
 

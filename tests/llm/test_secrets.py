@@ -1,5 +1,6 @@
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
@@ -78,3 +79,23 @@ def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id long, text string").withColumn("text", F.concat("text", F.lit("b")))
     plan = S.report(df)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+def test_random_strings_are_found_as_a_whole(spark):
+    rnd = random.Random(11)
+    draw = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    upper = "0123456789ABCDEF"
+    kinds = {"sig=%s": (upper, 32), "KEYID=%s": (upper, 32), "https://x.org/a/%s": (upper, 32), "id_%s-x": (upper + "abcdef", 32), "k-%s.": (upper, 24), "%s ": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 24), "v=%s": ("abcdefghijklmnopqrstuvwxyz0123456789", 24)}
+    rows = [(f, x, f"see {f % x}, then") for f, (letters, n) in kinds.items() for x in (draw(letters, n) for _ in range(300))]
+    df = spark.createDataFrame([(i, t) for i, (_, _, t) in enumerate(rows)], "doc_id long, text string")
+    gone = {r.doc_id: r.text for r in S.redact(df).collect()}
+    for f in kinds:
+        of = [(i, x) for i, (g, x, _) in enumerate(rows) if g == f]
+        assert sum(x not in gone[i] and gone[i] == rows[i][2].replace(x, "[SECRET]") or not any(x[k : k + 8] in gone[i] for k in range(len(x) - 7)) for i, x in of) >= 0.97 * len(of), f
+
+
+def test_hot_spans_take_their_candidate_and_only_hot_words_are_allowed(spark):
+    padded = f"{'a' * 40}{RANDOM}{'b' * 40}"
+    texts = [padded, f"example/{'a' * 40}/{RANDOM}", f"example{RANDOM}", "a-plain-name-of-a-page-without-much-in-it-2024", "123e4567-e89b-12d3-a456-426614174000", "xyzxyzxyzxyzxyzxyzxyzxyzxyz1xyz"]
+    got = {r.doc_id: r.text for r in S.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(["[SECRET]", "[SECRET]", *texts[2:]]))
