@@ -523,6 +523,17 @@ def sample_expand(s, d):
     return x.select("sample_id", "qid", "label_qid", "modality_pattern", F.round(F.aggregate("features", F.lit(0.0), lambda a, y: a + y), 6).alias("total"))
 
 
+@query("sample_expand_all")
+def sample_expand_all(s, d):
+    """As sample_expand, but every vector of a label of three or more is dealt to a modality: the first is shared, and up to four
+    meet all others, so samples grow with vectors."""
+    v = vectors(s, d).withColumn("k", F.row_number().over(Window.partitionBy("qid").orderBy("idx")))
+    labels = v.select("qid").distinct().select("qid", F.concat(F.lit("X"), "qid").alias("label_qid"))
+    audio = "k % 2 = 0 and k <= 8"
+    x = classify.expand(labels, {"graph": v.where("k = 1"), "audio": v.where(audio), "language": v.where(f"k > 1 and not ({audio})")})
+    return x.select("sample_id", "qid", "label_qid", "modality_pattern", F.round(F.aggregate("features", F.lit(0.0), lambda a, y: a + y), 6).alias("total"))
+
+
 @query("standardize", f"WITH {VEC}, x AS (SELECT unnest(generate_series(0, 63)) AS pos, e FROM v) SELECT pos::INT AS pos, round(avg(e[pos + 1]), 6) AS mean, round(CASE WHEN stddev_pop(e[pos + 1]) = 0 THEN 1 ELSE stddev_pop(e[pos + 1]) END, 6) AS scale FROM x GROUP BY 1")
 def standardize(s, d):
     return classify.standardized(vectors(s, d), "embedding").select("pos", F.round("mean", 6).alias("mean"), F.round("scale", 6).alias("scale"))

@@ -47,3 +47,18 @@ def test_transe_trains_on_all_edges(spark, sf, monkeypatch):
     monkeypatch.setattr(catalog.embedding, "transe", transe)
     catalog.QUERIES["transe_train"](spark, sf)
     assert seen == {"edges": catalog.QUERIES["tax_edges"](spark, sf).count(), "size": 128, "epochs": 200}
+
+
+def test_sample_expand_all_uses_every_vector(spark, sf):
+    by, want = {}, []
+    for r in spark.read.parquet(f"{sf}/embeddings.parquet").orderBy("vec_id").collect():
+        by.setdefault(f"L{r.label}", []).append(sum(map(float, r.embedding)))
+    for qid in sorted(by):
+        first, rest = by[qid][0], by[qid][1:]
+        audio, language = rest[:7:2], rest[1:7:2] + rest[7:]
+        assert len(rest) == len(audio) + len(language) > 7
+        for x in audio:
+            want += [(f"{qid}__{len(want) + k:06d}", qid, first + x + y) for k, y in enumerate(language)]
+    got = sorted(catalog.QUERIES["sample_expand_all"](spark, sf).collect(), key=lambda r: int(r.sample_id.split("__")[1]))
+    assert [(r.sample_id, r.qid) for r in got] == [w[:2] for w in want]
+    assert all(abs(r.total - w[2]) < 1e-4 for r, w in zip(got, want, strict=True))
