@@ -58,18 +58,30 @@ def node2vec(found: DataFrame, size: int = 128, window: int = 5, seed: int = 1,
     return m.getVectors().select(F.col("word").alias("qid"), vector_to_array("vector").alias("embedding"))
 
 
-def negative_edges(edges: DataFrame, nodes: DataFrame, seed: int = 0) -> DataFrame:
-    """For each edge a corrupted one: head or tail replaced by a hashed draw among all nodes, existing edges left out."""
+def negative_edges(edges: DataFrame, nodes: DataFrame, seed: int = 0, tries: int = 100) -> DataFrame:
+    """For each edge a corrupted one: head or tail replaced by a hashed draw among all nodes. Draws that give an existing edge are
+    drawn again. An edge that still has none after so many tries, as in a graph with all edges, is an error."""
     n = nodes.count()
     at = F.row_number().over(Window.partitionBy("bin").orderBy("qid")) - 1
     binned = nodes.select("qid", F.pmod(F.xxhash64("qid"), F.lit(max(1, n // 64))).alias("bin")).withColumn("at", at)
     sizes = binned.groupBy("bin").agg(F.count("*").alias("size"))
-    drawn = edges.withColumn("bin", F.pmod(F.xxhash64("parent_qid", "child_qid", F.lit(seed)), F.lit(max(1, n // 64)))).join(sizes, "bin")
-    drawn = drawn.withColumn("at", F.pmod(F.xxhash64("child_qid", "parent_qid", F.lit(seed + 1)), F.col("size")).cast("int")).join(binned, ["bin", "at"])
-    head = F.pmod(F.xxhash64("parent_qid", "child_qid", F.lit(seed + 2)), F.lit(2)) == 0
-    bad = drawn.select("parent_qid", "child_qid", F.when(head, F.col("qid")).otherwise(F.col("parent_qid")).alias("neg_parent"), F.when(head, F.col("child_qid")).otherwise(F.col("qid")).alias("neg_child"))
     real = edges.select(F.col("parent_qid").alias("neg_parent"), F.col("child_qid").alias("neg_child"))
-    return bad.join(real, ["neg_parent", "neg_child"], "left_anti")
+    left, out = edges.select("parent_qid", "child_qid"), None
+    for k in range(tries):
+        h = lambda i, *cols, k=k: F.xxhash64(*cols, F.lit(seed + i), *([F.lit(k)] if k else []))
+        drawn = left.withColumn("bin", F.pmod(h(0, "parent_qid", "child_qid"), F.lit(max(1, n // 64)))).join(sizes, "bin", "left")
+        drawn = drawn.withColumn("at", F.pmod(h(1, "child_qid", "parent_qid"), F.col("size")).cast("int")).join(binned, ["bin", "at"], "left")
+        head = F.pmod(h(2, "parent_qid", "child_qid"), F.lit(2)) == 0
+        bad = drawn.select("parent_qid", "child_qid", F.when(head, F.col("qid")).otherwise(F.col("parent_qid")).alias("neg_parent"), F.when(head, F.col("child_qid")).otherwise(F.col("qid")).alias("neg_child"))
+        # an empty bin gives no node: drawn again too
+        known = real.withColumn("known", F.lit(True)).distinct()
+        bad = staged(bad.join(known, ["neg_parent", "neg_child"], "left").withColumn("again", F.col("known").isNotNull() | F.col("neg_parent").isNull() | F.col("neg_child").isNull()), "negatives")
+        good = bad.where("not again").select("neg_parent", "neg_child", "parent_qid", "child_qid")
+        out = good if out is None else out.union(good)
+        left = bad.where("again").select("parent_qid", "child_qid")
+        if left.isEmpty():
+            return out
+    raise ValueError(f"edges without a corrupted one after {tries} draws")
 
 
 def transe_distance(h: Column, r: Column, t: Column) -> Column:

@@ -196,6 +196,18 @@ def test_walks_follow_edges_and_repeat(spark):
     assert rows(got, "qid", "walk_no", "walk") == rows(embedding.walks(n, length=6, per_node=2, q=0.5), "qid", "walk_no", "walk")
 
 
+def test_each_edge_has_a_negative(spark):
+    real = {("hub", f"n{i}") for i in range(100)} | {(f"n{i}", f"n{i + 100}") for i in range(100)}
+    edges = spark.createDataFrame(sorted(real), "parent_qid string, child_qid string")
+    nodes = spark.createDataFrame([(q,) for q in sorted({q for e in real for q in e})], "qid string")
+    got = embedding.negative_edges(edges, nodes).collect()
+    assert sorted((r.parent_qid, r.child_qid) for r in got) == sorted(real)
+    assert all((r.neg_parent, r.neg_child) not in real and (r.neg_parent == r.parent_qid or r.neg_child == r.child_qid) for r in got)
+    full = spark.createDataFrame([(a, b) for a in "xy" for b in "xy"], "parent_qid string, child_qid string")
+    with pytest.raises(ValueError):
+        embedding.negative_edges(full, spark.createDataFrame([("x",), ("y",)], "qid string"), tries=2)
+
+
 def test_transe_and_node2vec_give_vectors(spark):
     edges = spark.createDataFrame([("Q1", "Q2"), ("Q2", "Q3")], "parent_qid string, child_qid string")
     v, trace = embedding.transe(edges, size=4, epochs=3)
