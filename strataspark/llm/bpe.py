@@ -1,34 +1,36 @@
 """BPE encoding and decoding through a transducer lexicon of frequent words (operator 3).
 
-1. `frequent_words` counts every word of every text and keeps the most frequent, a bounded number.
-2. `build_lexicon` compiles these with their ids into a minimal acyclic transducer, one block of a few MB that is
-   broadcast and mapped into memory by each worker.
-3. `encode` looks up a batch's distinct words in it and merges exactly those it does not hold, so that results do not
-   depend on what the lexicon contains. `decode` goes back from ids to text.
-
-Null and empty texts have no ids and decode to the empty string. Repeated rows are encoded each for itself. Input
-columns named like an output column are replaced. An empty table gives an empty table and an empty lexicon.
+1. `frequent_words` counts every word of every text (what stands between spaces, with the space before it) and keeps the
+   most frequent, a bounded number.
+2. `build_lexicon` compiles these with their ids into a minimal acyclic transducer, one file of a few MB. Spark sends it to
+   every executor, also to such as come later, and all workers of a machine map the same file into memory.
+3. `encode` looks up a batch's distinct words in it, whatever their script, and merges exactly those it does not hold, so
+   that results do not depend on what the lexicon contains. `decode` goes back from ids to text.
+
+Null and empty texts have no ids and decode to the empty string; null lists of ids decode to the empty string. Texts of any
+length are cut at spaces, and a worker holds a batch (common.BATCH_BYTES, or one text if that is longer). Repeated rows are
+encoded each for itself. Input columns named like an output column are replaced. An empty table gives an empty table and an
+empty lexicon.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, discard, extend, ready, texts, tokenizer_path
+from .common import column, cut, discard, extend, ready, shared_file, tokenizer_path
 from .lexicon import Lexicon
-from .merging import Merger, merger
+from .merging import Merger, id_lists, merger
 
 FILE = "byte_bpe_50k.json"
 #: Words of the lexicon: about 3 MB of automaton and ids.
 LEXICON_WORDS = 100_000
-#: Distinct chunks that a task counts before it hands on its sums.
-FLUSH = 150_000
+#: Distinct words that a task counts before it hands on its sums.
+FLUSH = 400_000
 
 
 def frequent_words(df: DataFrame, spec: str, text_col: str = "text", size: int = LEXICON_WORDS) -> list[str]:
@@ -36,31 +38,30 @@ def frequent_words(df: DataFrame, spec: str, text_col: str = "text", size: int =
     and only the chosen ones reach the driver."""
 
     def run(batches):
-        m = merger(spec)
-        seen: Counter = Counter()
+        m = merger(spec, memo=0)
+        held, n = [], 0
 
-        def words():
-            total: Counter = Counter()
-            for c, n in seen.items():
-                for p in (c,) if c[1:].isalpha() else m.words(c):
-                    total[p] += n
-            seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+        def summed():
+            t = pa.concat_tables(held).group_by("word").aggregate([("n", "sum")])
+            return pa.table({"word": t["word"], "n": t["n_sum"]}).combine_chunks()
 
         for b in batches:
-            here: Counter = Counter()
-            for t in texts(b, text_col):
-                first, rest = m.chunks(t)
-                if first:
-                    seen[first] += 1
-                here.update(rest)
-            for c, n in here.items():
-                seen[" " + c] += n
-            if len(seen) > FLUSH:
-                yield words()
-        yield words()
-
-    counts = cut(df.select(text_col).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
+            texts = pc.fill_null(column(b, text_col), "")
+            if not len(texts):
+                continue
+            words, code, _ = m.chunks(texts)
+            held.append(pa.table({"word": words, "n": np.bincount(code, minlength=len(words))}))
+            n += len(words)
+            if n > FLUSH:
+                held = [summed()]
+                n = len(held[0])
+                if n > FLUSH // 2:
+                    yield from held[0].to_batches(max_chunksize=50_000)
+                    held, n = [], 0
+        if held:
+            yield from summed().to_batches(max_chunksize=50_000)
+
+    counts = cut(df.select(text_col).mapInArrow(run, "word string, n long").where("n > 0 and word <> ''").groupBy("word").agg(F.sum("n").alias("n")), "words")
     step = F.floor(F.log2("n") * 16)
     # a few hundred steps of counts, then no more words than asked for
     steps = sorted(counts.groupBy(step.alias("s")).count().collect(), key=lambda r: -r["s"])
@@ -76,14 +77,15 @@ def frequent_words(df: DataFrame, spec: str, text_col: str = "text", size: int =
 
 
 def build_lexicon(words: list[str], spec: str) -> Lexicon:
-    ids = Merger(spec).piece_ids([w for w in words if w and "\0" not in w])
-    return Lexicon.build({w: np.frombuffer(b, "<i4").tolist() for w, b in ids.items()})
+    chunks = pa.array([w for w in words if w], pa.string())
+    lists = id_lists(Merger(spec, memo=0).merge(chunks)).to_pylist() if len(chunks) else []
+    return Lexicon.build(dict(zip(chunks.to_pylist(), lists, strict=True)))
 
 
-def list_array(ids: list[bytes]) -> pa.Array:
-    offsets = np.zeros(len(ids) + 1, np.int32)
-    np.cumsum([len(b) // 4 for b in ids], out=offsets[1:])
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+def send(spark: SparkSession, lexicon: Lexicon | None) -> str:
+    """Puts a lexicon into the shared folder and has Spark send it to all executors; its name there. The file stays, as
+    executors that start later fetch it too."""
+    return shared_file(spark, "lexicon", lexicon.to_bytes()) if lexicon is not None else ""
 
 
 def read_spec(path: str) -> str:
@@ -93,12 +95,12 @@ def read_spec(path: str) -> str:
 
 def encode(df: DataFrame, spec: str, text_col: str = "text", out_col: str = "ids", lexicon: Lexicon | None = None) -> DataFrame:
     """df with the ids of each whole text."""
-    sc = ready(df.sparkSession).sparkContext
-    shared = sc.broadcast((spec, lexicon.to_bytes() if lexicon is not None else b""))
+    spark = ready(df.sparkSession)
+    shared, name = spark.sparkContext.broadcast(spec), send(spark, lexicon)
 
     def make():
-        m = merger(*shared.value)
-        return lambda b: [list_array(m.encode(texts(b, text_col)))]
+        m = merger(shared.value, name)
+        return lambda b: [m.encode_column(column(b, text_col))]
 
     return extend(df, [(out_col, T.ArrayType(T.IntegerType()))], make)
 
@@ -109,21 +111,25 @@ def decode(df: DataFrame, spec: str, ids_col: str = "ids", out_col: str = "decod
 
     def make():
         m = merger(shared.value)
-
-        def f(b: pa.RecordBatch) -> list:
-            col = b.column(b.schema.get_field_index(ids_col))
-            # a null list has no values of its own: its bounds are equal
-            bounds, ids = col.offsets.to_pylist(), col.values.to_numpy(zero_copy_only=False)
-            return [[m.decode(ids[s:e].tolist()).decode("utf-8", "replace") for s, e in zip(bounds, bounds[1:], strict=False)]]
-
-        return f
+        return lambda b: [m.decode_column(column(b, ids_col))]
 
     return extend(df, [(out_col, T.StringType())], make)
 
 
 def round_trip(df: DataFrame, text_col: str = "text", path: str | None = None, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """df with `ids` and `decoded`, by a lexicon of df's own frequent words."""
+    """df with `ids` and `decoded`, by a lexicon of df's own frequent words. Texts go to a worker once for both."""
     spec = read_spec(path or tokenizer_path(FILE))
-    ready(df.sparkSession)
-    lexicon = build_lexicon(frequent_words(df, spec, text_col, lexicon_words), spec)
-    return decode(encode(df, spec, text_col, lexicon=lexicon), spec)
+    spark = ready(df.sparkSession)
+    name = send(spark, build_lexicon(frequent_words(df, spec, text_col, lexicon_words), spec))
+    shared = spark.sparkContext.broadcast(spec)
+
+    def make():
+        m = merger(shared.value, name)
+
+        def f(b: pa.RecordBatch) -> list:
+            ids = m.encode_column(column(b, text_col))
+            return [ids, m.decode_column(ids)]
+
+        return f
+
+    return extend(df, [("ids", T.ArrayType(T.IntegerType())), ("decoded", T.StringType())], make)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Rows of an Arrow batch: whole texts are long, and what a Python worker holds is a batch.
-BATCH = 1000
+#: Rows and bytes of an Arrow batch: whole texts are long, and what a Python worker holds is a batch.
+BATCH, BATCH_BYTES = 1000, 8_000_000
 
 ROOT = str(Path(__file__).resolve().parents[2])
 
@@ -31,7 +31,7 @@ def ready(spark: SparkSession) -> SparkSession:
         env.setdefault(k, v)
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "32m")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -71,6 +71,20 @@ def discard(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def shared_file(spark: SparkSession, label: str, content: bytes) -> str:
+    """Writes a file to the shared folder and has Spark bring it to every executor; what SparkFiles.get() takes there."""
+    name = f"{label}-{uuid.uuid4().hex}"
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/strata/files/{name}")
+    out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(path, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+    spark.sparkContext.addFile(path.toString())
+    return name
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -92,8 +106,12 @@ def extend(df: DataFrame, fields: list[tuple[str, T.DataType]], make: Callable[[
     return base.mapInArrow(run, schema)
 
 
+def column(b: pa.RecordBatch, col: str) -> pa.Array:
+    return b.column(b.schema.get_field_index(col))
+
+
 def texts(b: pa.RecordBatch, col: str) -> list[str]:
-    return ["" if x is None else x for x in b.column(b.schema.get_field_index(col)).to_pylist()]
+    return ["" if x is None else x for x in column(b, col).to_pylist()]
 
 
 def crc_rest(col: str, mod: int):

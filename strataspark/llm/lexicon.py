@@ -8,11 +8,13 @@ sorted by (state, byte), which a reader maps into memory and searches for many w
 
 from __future__ import annotations
 
+import functools
 import json
 import mmap
 import struct
 
 import numpy as np
+import pyarrow as pa
 
 MAGIC = b"STRATLEX"
 
@@ -121,12 +123,20 @@ class Lexicon:
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """The rank of each word, -1 if it isn't in the lexicon; all words take a step at a time."""
-        out = np.full(len(words), -1, np.int64)
-        if not words or not len(self.arc_key):
-            return out
         n = np.fromiter(map(len, words), np.int64, len(words))
-        flat = np.frombuffer(b"".join(words), np.uint8)
-        off = np.cumsum(n) - n
+        return self._find(np.frombuffer(b"".join(words), np.uint8), np.cumsum(n) - n, n)
+
+    def find_column(self, words: pa.Array) -> np.ndarray:
+        """find() over an Arrow column without nulls, in place."""
+        _, offsets, data = words.buffers()
+        off = np.frombuffer(offsets, np.int32, len(words) + 1, words.offset * 4).astype(np.int64) if len(words) else np.zeros(1, np.int64)
+        flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        return self._find(flat, off[:-1], np.diff(off))
+
+    def _find(self, flat: np.ndarray, off: np.ndarray, n: np.ndarray) -> np.ndarray:
+        out = np.full(len(n), -1, np.int64)
+        if not len(n) or not len(self.arc_key):
+            return out
         alive = np.flatnonzero(n > 0)
         state, rank = np.zeros(len(alive), np.uint64), np.zeros(len(alive), np.int64)
         j = 0
@@ -144,6 +154,11 @@ class Lexicon:
             alive, state, rank = alive[~ends], state[~ends], rank[~ends]
         return out
 
+    @functools.cached_property
+    def values(self) -> pa.Array:
+        """The ids of each rank, as binary values over the same memory."""
+        return pa.BinaryArray.from_buffers(pa.binary(), len(self.starts) - 1, [None, pa.py_buffer((self.starts * 4).astype(np.int32)), pa.py_buffer(self.ids)])
+
     def ids_of(self, rank: int) -> np.ndarray:
         return self.ids[self.starts[rank] : self.starts[rank + 1]]
 

@@ -86,6 +86,41 @@ def test_wavelet_matrix_answers_as_the_plain_list():
             assert w.select(v, len(where)) == -1
 
 
+def test_a_document_is_read_by_access_from_the_chunks_it_touches():
+    rng = np.random.default_rng(2)
+    n = 3 * tokenbin.CHUNK + 77
+    ids = rng.integers(0, 40000, n).astype(np.uint16)
+    at = np.array([0, 9, tokenbin.CHUNK - 5, tokenbin.CHUNK + 7, n])
+    w = WaveletMatrix.from_bytes(WaveletMatrix.build(ids, at).to_bytes())
+    assert w.access(n - 1) == ids[n - 1]
+    assert len(w.held) <= 2 * w.bits  # of the five pieces of each plane: its samples and one chunk
+    assert w.document(0) == ids[:9].tolist()
+    assert w.document(2) == ids[at[2] : at[3]].tolist()
+    assert w.count(int(ids[5])) == (ids == ids[5]).sum() and w.select(int(ids[n - 1]), w.count(int(ids[n - 1])) - 1) == n - 1
+    assert (w.all() == ids).all()
+
+
+def test_a_lexicon_holds_words_of_any_script_and_is_mapped_from_a_file(tmp_path):
+    spec = bpe.read_spec(tokenizer_path(bpe.FILE))
+    library = Tokenizer.from_str(spec)
+    words = ["слово", " слово", " λόγος", " 文字", "the", " the,", " don't", " a\n\nb"]
+    path = tmp_path / "lexicon"
+    path.write_bytes(bpe.build_lexicon(words, spec).to_bytes())
+    lex = Lexicon.open(str(path))
+    assert (lex.find([w.encode() for w in words]) >= 0).all()
+    m = Merger(spec, lex, memo=0)
+    for t in ("слово λόγος 文字 слово", "the the, don't a\n\nb x", "unseen слово"):
+        assert np.frombuffer(m.encode([t])[0], "<i4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
+def test_white_space_at_chunk_ends_equals_the_library():
+    spec = bpe.read_spec(tokenizer_path(bpe.FILE))
+    m, library = Merger(spec), Tokenizer.from_str(spec)
+    texts = ["a ", "a \n", "a \n\n", "a\n \n b", " ", "\n", "a\tb\t\t", "a  ", "x y\n\nz w", "a <|endoftext|>", "<|endoftext|> a"]
+    for t, got in zip(texts, m.encode(texts), strict=True):
+        assert np.frombuffer(got, "<i4").tolist() == library.encode(t, add_special_tokens=False).ids, repr(t)
+
+
 def test_shards_give_the_documents_back(spark):
     rows = [(5, "b c"), (3, None), (None, "first"), (3, "again"), (9, ""), (-2, "x" * 3000)]
     library = Tokenizer.from_file(tokenizer_path(tokenbin.FILE))
