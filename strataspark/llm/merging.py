@@ -243,13 +243,22 @@ class Merger:
         ids = [np.array(e.ids, np.int32) for e in self.library.encode_batch(chunks.to_pylist(), add_special_tokens=False)]
         return blobs(np.cumsum([0, *map(len, ids)]), np.concatenate(ids))
 
+    def _ended(self, chunks: pa.Array) -> pa.Array:
+        """Lower-case chunks with a sign of its end behind each piece. Words, and words with one sign behind, need no search."""
+        letters = r"[a-z\x{df}-\x{f6}\x{f8}-\x{17f}]+"
+        word = pc.match_substring_regex(chunks, f"^{letters}$")
+        signed = pc.match_substring_regex(chunks, f"^{letters}[!-&(-/:-@]$")
+        other = pc.invert(pc.or_(word, signed))
+        out = pc.binary_join_element_wise(chunks, "", "\0")
+        part = chunks.filter(signed)
+        out = pc.replace_with_mask(out, signed, pc.binary_join_element_wise(pc.utf8_slice_codeunits(part, 0, -1), pc.utf8_slice_codeunits(part, -1), "", "\0"))
+        part = pc.replace_substring_regex(pc.replace_substring_regex(chunks.filter(other), self.piece, "\\1\0"), r"\s+", "")
+        return pc.replace_with_mask(out, other, part)
+
     def _by_ranks(self, chunks: pa.Array, engine: int) -> pa.Array:
         """All chunks in one string, with a sign behind each that is a token of its own."""
         if self.suffix:
-            chunks = pc.utf8_lower(chunks)
-            pure = pc.match_substring_regex(chunks, r"^[a-z\x{df}-\x{f6}\x{f8}-\x{17f}]+$")
-            rest = pc.replace_substring_regex(pc.replace_substring_regex(chunks.filter(pc.invert(pure)), self.piece, "\\1\0"), r"\s+", "")
-            chunks = pc.replace_with_mask(pc.binary_join_element_wise(chunks, "", "\0"), pc.invert(pure), rest)
+            chunks = self._ended(pc.utf8_lower(chunks))
         whole = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks), "\0")[0].as_py() + "\0"
         ranks = np.array(self.engines[engine].encode_ordinary(whole), np.int32)
         ends = np.flatnonzero(ranks == self.end)
