@@ -2,7 +2,9 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from strataspark.llm import components as components_of
 from strataspark.llm import decontam, minhash
 from strataspark.llm.components import components
 
@@ -56,10 +58,68 @@ def test_near_duplicates_equal_brute_force(spark):
 def test_near_duplicates_of_repeated_null_and_no_rows(spark):
     df = spark.createDataFrame([(4, "a b c d"), (4, "a b c d"), (None, "a b c d"), (2, "x y z")], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df).collect()), key=str)
-    assert got == sorted([(4, 4, True), (4, 4, True), (2, 2, True), (None, 4, None)], key=str)
+    assert got == sorted([(4, 4, True), (4, 4, True), (2, 2, True), (None, None, True)], key=str)
     assert minhash.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_texts_of_one_id_are_one_document(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, b.replace("b30", "z")), (3, a.replace("a30", "z")), (4, "x y"), (4, ""), (5, "x y"), (9, None), (9, "other words")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85)
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id", "kept").collect()) == brute(rows, 3, 85)
+    named = spark.createDataFrame([(f"id{i}", t) for i, t in rows], "name string, body string")
+    got = minhash.near_duplicates(named, "name", "body", words=3, percent=85)
+    assert sorted(tuple(r) for r in got.select("name", "n_shingles", "component_id", "kept").collect()) == [(f"id{i}", n, f"id{c}", k) for i, n, c, k in brute(rows, 3, 85)]
+
+
+def test_small_blocks_and_packs_lose_no_link(spark, monkeypatch):
+    # families whose members are often just above or below the threshold, over many blocks and packs
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    rnd, rows = random.Random(11), []
+    for g in range(3):
+        base = [f"g{g}w{i}" for i in range(90)]
+        for _ in range(60):
+            t = base[:]
+            for _ in range(rnd.randrange(0, 6)):
+                t[rnd.randrange(len(t))] = f"v{rnd.randrange(12)}"
+            rows.append((len(rows), " ".join(t)))
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), words=3, percent=85)
+    want = brute(rows, 3, 85)
+    assert 3 < len({r[2] for r in want}) < 120
+    assert sorted(tuple(r) for r in got.select("doc_id", "n_shingles", "component_id", "kept").collect()) == want
+
+
+def test_across_links_what_differs_in_label_only(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 3)
+    rnd = random.Random(4)
+    rows = [(g, i, rnd.choice([0, 0, 0, 1, 2]), bytes([rnd.randrange(4)])) for g in range(4) for i in range(20)]
+    df = spark.createDataFrame(rows, "g int, node long, comp long, data binary")
+    test = lambda a, b: np.array([[x.as_py() == y.as_py() for y in b] for x in a])
+    got = {(r.a, r.b) for r in minhash._across(df.withColumn("node", F.expr("g * 100 + node")), ["g"], test).collect()}
+    by = {g * 100 + i: (g, c, d) for g, i, c, d in rows}
+    assert all(by[a][0] == by[b][0] and by[a][1] != by[b][1] and by[a][2] == by[b][2] for a, b in got)
+    found = {(by[a][0], *sorted((by[a][1], by[b][1]))) for a, b in got}
+    assert found == {(x[0], *sorted((x[1], y[1]))) for x in by.values() for y in by.values() if x[0] == y[0] and x[1] != y[1] and x[2] == y[2]}
+
+
+def test_intersections_equal_the_plain_ones(monkeypatch):
+    monkeypatch.setattr(minhash, "WIDTH", 16)
+    rng = np.random.default_rng(3)
+    a, b = ([np.unique(rng.integers(0, 200, rng.integers(1, 90))).astype(np.uint64) for _ in range(n)] for n in (9, 12))
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    assert minhash.intersections(a, b).astype(int).tolist() == want
+    links = np.array([[x == y or {x, y} <= {0, 3, 5} or {x, y} == {1, 2} for y in range(6)] for x in range(6)])
+    assert sorted(map(tuple, map(sorted, minhash.spanning(links)))) == [(0, 3), (0, 5), (1, 2)]
+
+
+def test_components_by_rounds_equal_those_at_once(spark, monkeypatch):
+    rnd = random.Random(8)
+    edges = spark.createDataFrame([(rnd.randrange(400), rnd.randrange(400)) for _ in range(260)], "a long, b long")
+    at_once = sorted(map(tuple, components(edges, "a", "b").collect()))
+    monkeypatch.setattr(components_of, "SMALL", 0)
+    assert sorted(map(tuple, components(edges, "a", "b").collect())) == at_once
+
+
 def test_one_block_is_not_enough_for_a_large_group(spark):
     rnd = random.Random(5)
     base = [f"w{i}" for i in range(120)]
