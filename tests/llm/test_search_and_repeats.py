@@ -48,6 +48,33 @@ def test_bounds_save_distances():
     assert t.computed < 20 * 6000 / 4
 
 
+def test_pages_give_the_tree_back_and_an_index_saves_distances(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "TREE_ROWS", 500)
+    monkeypatch.setattr(mtree, "QUERY_BLOCK", 16)
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(12, 6)) * 30
+    v = centers[rng.integers(0, 12, 6000)] + rng.normal(size=(6000, 6))
+    t = mtree.MTree(np.floor(256 * v).astype(np.int64), np.arange(6000))
+    again = mtree.MTree.of(t.pages())
+    for q in np.floor(256 * v[:5]).astype(np.int64):
+        assert again.search(q, 4, -1) == t.search(q, 4, -1) and again.computed == t.computed
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    index = mtree.build(df)
+    assert index.trees >= 12 and index.pages.where("up >= 0 and radius > 0").count() > 0
+    queries = df.where("vec_id % 50 = 0")
+    assert mtree.search(index, queries).agg({"computed": "sum"}).first()[0] < 120 * 6000 / 4
+    rows = [(i, x) for i, x in enumerate(v)]
+    assert answers(df, queries) == best(rows, rows[::50])
+
+
+def test_components_beyond_64_bits_stay_exact(spark):
+    rows = [(i, [float(2.0**60 * (i + 1)), float(i)]) for i in range(3)] + [(50, [3.0, 4.0])]
+    vectors = np.array([[int(np.floor(256 * x)) for x in v] for _, v in rows], object)
+    assert (mtree.unpacked(mtree.packed(vectors), 2) == vectors).all()
+    small = np.array([[1, -40000], [70000, 3]])
+    assert (mtree.unpacked(mtree.packed(small), 2) == small).all() and len(mtree.packed(small)) == 17
+
+
 def test_vectors_that_take_no_part(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (50, [0.5, -1.0]), (1, None), (2, [1.0, None]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, []), (6, [1.0, 2.0, 3.0]), (None, [9.0, 9.0]), (7, [-0.001, 0.0]), (7, [-0.001, 0.0]), (100, None)]
