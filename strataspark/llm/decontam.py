@@ -7,12 +7,16 @@ piece hits in a pass over the texts, and around each hit Myers' bit-parallel rec
 distance and where it ends; run backwards from there it gives where the match starts.
 
 The items are taken in blocks of at most BLOCK_BYTES, each one pass over the texts, so that what is broadcast is bounded.
-Null texts and items, and items without words, match nothing. Repeated items match each under its own id. A table
-without rows on either side gives an empty result, or leaves the documents as they are. Further columns are kept.
+Null texts and items, and items without words, match nothing. An item of any length counts, also one of a single word, which then
+matches every text that holds that word. Repeated items match each under its own id, repeated documents each for itself; of an
+item's matches that overlap the nearest counts, and of equally near ones the first. Texts of any length are searched whole, one
+at a time. A table without rows on either side gives an empty result, or leaves the documents as they are. Further columns are
+kept, and what they are called doesn't matter.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from bisect import bisect_right
 
@@ -20,8 +24,9 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import ready, texts
+from .common import cut, ready, texts
 
 ERRORS = 0.15
 PIECE_WORDS = 3
@@ -123,49 +128,64 @@ class Matcher:
         return sorted(out, key=lambda x: (x[1], x[2], str(x[0])))
 
 
-def blocks(bench: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[list[tuple[int, str | None]]]:
-    """The items in lists of about BLOCK_BYTES each, gathered one after another."""
-    b = bench.select(F.col(item_col).cast("long").alias("i"), F.col(text_col).alias("t"))
+def blocks(bench: DataFrame, item_col: str = "item_id", text_col: str = "text") -> list[DataFrame]:
+    """The items in tables of about BLOCK_BYTES each."""
+    b = bench.select(F.col(item_col).alias("i"), F.col(text_col).alias("t"))
     size = b.agg(F.sum(F.coalesce(F.octet_length("t"), F.lit(0)) + 16)).first()[0] or 0
     n = -(-size // BLOCK_BYTES)
-    for k in range(n):
-        rows = b.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()
-        yield sorted(((r.i, r.t) for r in rows), key=str)
+    return [b.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k) for k in range(n)]
+
+
+def _passes(spark, bench: DataFrame, item_col: str, text_col: str, one_pass) -> list[DataFrame]:
+    """one_pass(broadcast items, result of the pass before) for each block. Of several blocks each pass is written before the next block is gathered, and its items are
+    given up then, so that one block at a time is on the driver and the executors."""
+    out, parts = [], blocks(bench, item_col, text_col)
+    for items in parts:
+        shared = spark.sparkContext.broadcast(sorted(((r.i, r.t) for r in items.collect()), key=str))
+        got = one_pass(shared, out[-1] if out else None)
+        if len(parts) > 1:
+            got = cut(got, "decontam")
+            shared.unpersist()
+        out.append(got)
+    return out
 
 
 def leaks(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", errors: float = ERRORS) -> DataFrame:
     """One row for each match: the document, the item, where it stands in the text (code points) and its distance in words."""
     spark = ready(docs.sparkSession)
-    base = docs.select(id_col, F.col(text_col).alias("__text"))
-    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, item_id long, match_start int, match_end int, distance int"
+    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    kind = bench.schema[item_col].dataType
+    schema = f"{id_col} {docs.schema[id_col].dataType.simpleString()}, item_id {kind.simpleString()}, match_start int, match_end int, distance int"
     names = [id_col, "item_id", "match_start", "match_end", "distance"]
-    out = None
-    for items in blocks(bench, item_col, item_text_col):
-        shared = spark.sparkContext.broadcast(items)
 
-        def run(batches, shared=shared):
+    def one_pass(shared, _):
+        def run(batches):
             m = Matcher(shared.value, errors)
             for b in batches:
                 rows = [(i, hit) for i, t in enumerate(texts(b, "__text")) for hit in m(t)]
                 ids = b.column(0).take(pa.array([i for i, _ in rows], pa.int64()))
-                cols = [pa.array([h[j] for _, h in rows], pa.int64() if j == 0 else pa.int32()) for j in range(4)]
+                cols = [pa.array([h[j] for _, h in rows], to_arrow_type(kind) if j == 0 else pa.int32()) for j in range(4)]
                 yield pa.RecordBatch.from_arrays([ids, *cols], names)
 
-        part = base.mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
-    return out if out is not None else spark.createDataFrame([], schema)
+        return base.mapInArrow(run, schema)
+
+    found = _passes(spark, bench, item_col, item_text_col, one_pass)
+    return functools.reduce(DataFrame.union, found) if found else spark.createDataFrame([], schema)
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", errors: float = ERRORS) -> DataFrame:
     """The documents that hold no item, all columns as they were."""
-    spark = ready(docs.sparkSession)
-    for items in blocks(bench, item_col, item_text_col):
-        shared = spark.sparkContext.broadcast(items)
 
-        def run(batches, shared=shared):
+    def one_pass(shared, left):
+        left = docs if left is None else left
+
+        def run(batches):
             m = Matcher(shared.value, errors)
             for b in batches:
                 yield b.filter(pa.array([not m(t, first_only=True) for t in texts(b, text_col)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+        return left.mapInArrow(run, docs.schema)
+
+    # each pass is over what the one before has left
+    kept = _passes(ready(docs.sparkSession), bench, item_col, item_text_col, one_pass)
+    return kept[-1] if kept else docs

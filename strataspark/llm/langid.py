@@ -8,7 +8,7 @@
 
 Fitted on at most TRAIN_ROWS texts with a language, those of the smallest hash of doc_id; trigrams are hashed into a table of
 fixed size. A text that is null or has no letter is `und` with score 0 and no span. Without any labelled text every
-text is `und`. Ties go to the language that sorts first. Clashing columns are replaced; repeated rows are each labelled.
+text is `und`. Ties go to the language that sorts first. Texts of any length are labelled whole, a batch at a time. Clashing columns are replaced; repeated rows are each labelled.
 """
 
 from __future__ import annotations

@@ -57,13 +57,9 @@ class Merger:
     """spec: the text of a tokenizers file. lexicon: ids of frequent chunks. memo: chunks to remember, 0 for none."""
 
     def __init__(self, spec: str, lexicon=None, memo: int = MEMO):
-        from tokenizers import Tokenizer
-
         j = json.loads(spec)
         model, signs = j["model"], byte_signs()
-        self.library = Tokenizer.from_str(spec)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.spec = spec
         self.lexicon, self.limit = lexicon, memo
         self.suffix = model.get("end_of_word_suffix") or ""
         special = {x["content"]: x["id"] for x in j["added_tokens"]}
@@ -104,6 +100,16 @@ class Merger:
         self.tokens = pa.array([text_of.get(i) for i in range(max(text_of) + 1)], pa.binary())
         self.forget()
 
+    @functools.cached_property
+    def library(self):
+        """Loaded only if a text needs it, as it holds some 30 MB."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_str(self.spec)
+        out.no_truncation()
+        out.no_padding()
+        return out
+
     def forget(self) -> None:
         self.keys, self.values = pa.array([], pa.string()), pa.array([], pa.binary())
 

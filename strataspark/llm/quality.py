@@ -5,7 +5,9 @@ text's score is sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_i
 time linear in the features.
 
 Fitted on at most TRAIN_ROWS labelled rows, those of the smallest hash of doc_id; their sparse features are what the
-driver gathers (a few KB each). The model has a fixed size, 2**BITS * (1 + RANK) numbers. Every row is scored.
+driver gathers (12 bytes a distinct word). The model has a fixed size, 2**BITS * (1 + RANK) numbers. Every row is scored.
+
+Texts of any length are read whole; a training row is at most its distinct words (the driver gathers TRAIN_ROWS of them).
 
 Null and empty texts have the features of an empty text and get a score. Rows that share a doc_id with several labels
 count with the smallest. Null labels are left out. With no label at all, or one class only, nothing is known to be bad

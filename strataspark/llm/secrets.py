@@ -19,6 +19,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import unused
+
 #: The base kinds in the order that ties follow: pattern, group, least length of the group.
 BASE = {
     "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
@@ -86,15 +88,16 @@ def _hot(s: str, letters: str, bits: float) -> str:
 
 def scan(df: DataFrame, text_col: str = "text", out_col: str = "secret_spans") -> DataFrame:
     """df with an array of (s, k, e): start, number of the kind in KINDS, end; in this order."""
-    df = df.withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))
+    tmp = unused(df, "__t")
+    df = df.withColumn(tmp, F.coalesce(F.col(text_col), F.lit("")))
     made = []
     for k, (pattern, group, least) in enumerate(BASE.values()):
-        made.append(f"transform(filter({_found('__t', pattern, group)}, m -> length(m.g) >= {least}), m -> named_struct('s', m.s, 'k', {k}, 'e', m.e))")
+        made.append(f"transform(filter({_found(tmp, pattern, group)}, m -> length(m.g) >= {least}), m -> named_struct('s', m.s, 'k', {k}, 'e', m.e))")
     for k, (letters, pattern, bits) in enumerate(CLASSES.values(), len(BASE)):
-        hits = f"transform(filter({_found('__t', pattern, 0)}, m -> NOT m.g RLIKE {_q(ALLOW_SHAPES)}), m -> named_struct('s', m.s, 'e', m.e, 'g', m.g, 'h', {_hot('m.g', letters, bits)}))"
+        hits = f"transform(filter({_found(tmp, pattern, 0)}, m -> NOT m.g RLIKE {_q(ALLOW_SHAPES)}), m -> named_struct('s', m.s, 'e', m.e, 'g', m.g, 'h', {_hot('m.g', letters, bits)}))"
         hot = "substring(m.g, m.h.a + 1, m.h.b - m.h.a)"
         made.append(f"transform(filter({hits}, m -> m.h.a >= 0 AND NOT {hot} RLIKE {_q(ALLOW_WORDS)}), m -> named_struct('s', m.s, 'k', {k}, 'e', m.e))")
-    return df.withColumn(out_col, F.expr(f"array_sort(concat({', '.join(made)}))")).drop("__t")
+    return df.withColumn(out_col, F.expr(f"array_sort(concat({', '.join(made)}))")).drop(tmp)
 
 
 def joined(spans: str, base_only: bool) -> str:
@@ -107,11 +110,12 @@ def joined(spans: str, base_only: bool) -> str:
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """df with each span of a text replaced by a mark; overlapping spans count as one. Texts without spans, null ones
     too, stay as they are."""
-    spans = scan(df, text_col, "__spans")
+    found, t = unused(df, "__spans"), unused(df, "__text")
+    spans = scan(df, text_col, found)
     # spans come by start: what a span adds is what lies beyond the end so far
-    piece = "named_struct('o', concat(a.o, if(x.s >= a.e, array(substring(__t, a.e + 1, x.s - a.e), '{m}'), cast(array() as array<string>))), 'e', greatest(a.e, x.e))".format(m=mark.replace("'", r"\'"))
-    out = f"CASE WHEN size(__spans) = 0 THEN {text_col} ELSE transform(array(aggregate(__spans, named_struct('o', cast(array() as array<string>), 'e', 0), (a, x) -> {piece})), r -> concat(array_join(r.o, ''), substring(__t, r.e + 1)))[0] END"
-    return spans.withColumn("__t", F.col(text_col)).withColumn(text_col, F.expr(out)).drop("__spans", "__t")
+    piece = "named_struct('o', concat(a.o, if(x.s >= a.e, array(substring({t}, a.e + 1, x.s - a.e), '{m}'), cast(array() as array<string>))), 'e', greatest(a.e, x.e))".format(t=t, m=mark.replace("'", r"\'"))
+    out = f"CASE WHEN size({found}) = 0 THEN {text_col} ELSE transform(array(aggregate({found}, named_struct('o', cast(array() as array<string>), 'e', 0), (a, x) -> {piece})), r -> concat(array_join(r.o, ''), substring({t}, r.e + 1)))[0] END"
+    return spans.withColumn(t, F.col(text_col)).withColumn(text_col, F.expr(out)).drop(found, t)
 
 
 def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

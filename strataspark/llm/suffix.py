@@ -19,7 +19,8 @@ equal places, and only suffixes at anchors (about one in 35 bytes) matter.
 6. Segments gather their removed spans and give the result.
 
 Null texts are empty. Rows that share a doc_id count in the order they are stored in a segment, and by segment; null ids come
-before all others. Texts shorter than LENGTH lose nothing. Only id and text are read, so other columns don't matter. An
+before all others. Texts shorter than LENGTH lose nothing; a longer one than
+SEGMENT is a segment by itself. Ids are whole numbers (other kinds are cast, or the job fails). Only id and text are read, so other columns don't matter. An
 empty table gives an empty result.
 """
 

@@ -237,3 +237,44 @@ def test_every_passage_of_the_table_is_found(spark, sf):
     want = {(d.doc_id, i.item_id) for d in docs for i in items if i.text in d.text}
     got = {(r.doc_id, r.item_id) for r in queries.op1_decontamination(spark, sf).collect()}
     assert want <= got and len(got) <= len(want) + 3
+
+
+def edited(words, item, k):
+    """Least edit distance over words of item to any stretch of words, and whether it is at most k."""
+    return min(levenshtein_ends(item, words), default=len(item)) <= k
+
+
+def test_leaks_of_the_table_equal_brute_force(spark, sf, monkeypatch):
+    from strataspark.llm import queries
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").collect()
+    low = lambda t: decontam.WORD.findall((t or "").lower())
+    texts = {d.doc_id: low(d.text) for d in docs}
+    rnd = random.Random(1)
+    # every document that shares three words with an item, and some that don't, by the plain table of distances
+    want, checked = set(), set()
+    for i in items:
+        w = low(i.text)
+        grams = {tuple(w[j : j + 3]) for j in range(len(w) - 2)}
+        for d, t in texts.items():
+            if len(t) < 1500 and (rnd.random() < 0.002 or any(tuple(t[j : j + 3]) in grams for j in range(len(t) - 2))):
+                checked.add((d, i.item_id))
+                if w and edited(t, w, decontam.budget(len(w))):
+                    want.add((d, i.item_id))
+    got = {(r.doc_id, r.item_id) for r in queries.op1_decontamination(spark, sf).collect()}
+    assert want and got & checked == want
+    # in several passes the result is the same
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 2000)
+    d, b = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet").limit(40)
+    some = {r.item_id for r in b.collect()}
+    assert {(r.doc_id, r.item_id) for r in decontam.leaks(d, b).collect()} == {x for x in got if x[1] in some}
+    kept = {r.doc_id for r in decontam.decontaminate(d, b).collect()}
+    assert kept == set(texts) - {x[0] for x in got if x[1] in some}
+
+
+def test_item_ids_may_be_text(spark):
+    d = spark.createDataFrame([("d1", "one two three four", 1)], "name string, body string, item_id int")
+    b = spark.createDataFrame([("x", "two three"), (None, "four")], "item string, words string")
+    got = decontam.leaks(d, b, "name", "body", "item", "words").collect()
+    assert {(r.name, r.item_id, r.match_start) for r in got} == {("d1", None, 14), ("d1", "x", 4)}
