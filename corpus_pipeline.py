@@ -1,7 +1,10 @@
 """A corpus pipeline: quality, near-duplicates, benchmark passages, secrets, tokens.
 
 Each stage takes (spark, docs, sf_dir), works on all rows of docs and returns a DataFrame; all but the last return the
-columns of documents. Null and empty texts pass every stage but the first, which judges them like others.
+columns of documents, and further columns of docs, whatever they are called, stay as they are. Null and empty texts pass
+every stage but the first, which judges them like others. Rows that repeat an id or a text are each judged for themselves, but
+where near-duplicates are removed. Ties don't matter: no stage ranks rows. Texts of any length are worked on whole. Empty tables
+give empty tables, and without labels or benchmark items nothing is removed by these.
 """
 
 from __future__ import annotations
@@ -10,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspark.llm import bpe, decontam, minhash, quality, secrets
-from strataspark.llm.common import cut, discard, table
+from strataspark.llm.common import cut, discard, table, unused
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go. It learns from `labels`, but for the held-out fold."""
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, out_col="__score").where(F.col("__score") >= quality.THRESHOLD).drop("__score")
+    score = unused(docs, "__score")
+    return quality.score(docs, model, out_col=score).where(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,6 +33,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     if counts[0] <= minhash.SMALL_IDS:
         gone = F.broadcast(gone)
     out = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    # found is read until the result is written; run() removes the folder of its own tables only
     return out.dropDuplicates(["doc_id", "text"]) if (counts[1] or 0) > 1 else out
 
 
