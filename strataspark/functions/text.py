@@ -161,3 +161,87 @@ def alias_list(c: Column | str) -> Column:
     parsed = F.from_json(blank(c), "array<string>")
     got = F.when(blank(c) == "", F.array().cast("array<string>")).otherwise(F.coalesce(parsed, F.array(blank(c))))
     return F.filter(F.transform(got, lambda x: py_strip(x)), lambda x: x != "")
+
+
+# ---- addresses, kinds and details
+
+
+def recording_page(recording_id: Column) -> Column:
+    return F.concat(F.lit("https://xeno-canto.org/"), recording_id)
+
+
+def api_query(species: Column, quality: Column) -> Column:
+    """A search by species (dashes as spaces), and by quality unless that is blank."""
+    q = F.upper(py_strip(quality))
+    return F.concat(F.lit('sp:"'), py_strip(F.replace(blank(species), F.lit("-"), F.lit(" "))), F.lit('"'), F.when(q == "", "").otherwise(F.concat(F.lit(" q:"), q)))
+
+
+def api_url(species: Column, quality: Column, page: Column, per_page: int, key: str) -> Column:
+    return F.concat(F.lit("https://xeno-canto.org/api/3/recordings?query="), percent_encode(api_query(species, quality)), F.lit("&page="), page.cast("string"), F.lit(f"&per_page={per_page}&key="), percent_encode(F.lit(key)))
+
+
+def codec_args(kind: Column) -> Column:
+    """What an audio encoder is asked for, by type of file; others are copied."""
+    k = F.lower(py_strip(kind))
+    args = lambda *a: F.array(*map(F.lit, a))
+    return F.when(k == "mp3", args("-c:a", "libmp3lame", "-q:a", "2")).when(k == "wav", args("-c:a", "pcm_s16le")).otherwise(args("-c:a", "copy"))
+
+
+def rank_key(rank: Column, name: Column) -> Column:
+    """What a rank is coloured by: its id, else its name in lower case, else `other`."""
+    return or_else(py_strip(rank), F.lower(py_strip(name)), F.lit("other"))
+
+
+def rank_title(rank: Column, name: Column, titles: dict[str, str]) -> Column:
+    """What a rank is called: by its id (the id itself, if that has no title), else by its name."""
+    known = F.create_map(*[F.lit(x) for kv in titles.items() for x in kv])
+    own = py_strip(rank)
+    return F.when(own != "", F.coalesce(F.try_element_at(known, own), own)).otherwise(or_else(py_strip(name), F.lit("other / missing")))
+
+
+def details(qid: Column, label: Column, rank_name: Column, rank: Column, taxon: Column, entity_url: Column, wiki_url_: Column) -> Column:
+    """A node's details, a line each; addresses only where there are some."""
+    line = lambda name, c: F.concat(F.lit(f"{name}: "), blank(c))
+    some = lambda name, c: F.when(blank(c) != "", line(name, c))
+    return F.concat_ws("\n", line("QID", qid), line("English label", label), F.concat(line("Taxon rank", rank_name), F.lit(" ("), blank(rank), F.lit(")")), line("Taxon name", taxon), some("Wikidata", entity_url), some("English Wikipedia", wiki_url_))
+
+
+def rgb(color: Column) -> Column:
+    """The three channels of #RRGGBB."""
+    return F.array(*[F.conv(F.substring(color, i, 2), 16, 10).cast("int") for i in (2, 4, 6)])
+
+
+def gradient_over(anchors: list[str], index: Column, total: Column) -> Column:
+    """The colour of a place among `total` along a list of colours, channels rounded half to even, in capitals."""
+    at = F.when(total > 1, index * float(len(anchors) - 1) / (total - 1)).otherwise(0.0)
+    left = F.least(F.floor(at).cast("int"), F.lit(len(anchors) - 1))
+    colors = F.array(*[rgb(F.lit(a)) for a in anchors])
+    a, b = F.get(colors, left), F.get(colors, F.least(left + 1, F.lit(len(anchors) - 1)))
+    mixed = F.zip_with(a, b, lambda x, y: F.lpad(F.hex(F.bround(x + (y - x) * (at - left)).cast("bigint")), 2, "0"))
+    return F.concat(F.lit("#"), F.array_join(mixed, ""))
+
+
+def listed(values: list[str] | str, known: set[str], upper: bool = False) -> list[str]:
+    """The items of comma-separated lists, each once, blank ones left out; items that aren't known are an error."""
+    out: dict[str, None] = {}
+    for v in [values] if isinstance(values, str) else values:
+        for x in v.split(","):
+            x = x.strip().upper() if upper else x.strip().lower()
+            if x:
+                out[x] = None
+    if unknown := sorted(set(out) - known):
+        raise ValueError("unknown: " + ", ".join(unknown))
+    return list(out)
+
+
+def setting(name: str, given: str | None, environment: dict[str, str], lines: list[str], default: str) -> str:
+    """A setting as given, else from the environment, else from lines of NAME=value (`export` and quotes are allowed), else the default."""
+    for x in (given, environment.get(name)):
+        if x and x.strip():
+            return x.strip()
+    for line in lines:
+        key, eq, value = line.strip().removeprefix("export ").partition("=")
+        value = value.strip().strip('"').strip("'")
+        if eq and key.strip() == name and value:
+            return value
+    return default

@@ -141,8 +141,8 @@ def propagated(nodes: DataFrame, edges: DataFrame, layers: int = 2, symmetric: b
 
 
 def sampled_neighbors(neighbors: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """At most k neighbours of each node, by hash."""
-    keyed = F.transform("neighbors", lambda v: F.struct(F.xxhash64(v, "qid", F.lit(seed)).alias("h"), v.alias("v")))
+    """At most k neighbours of each node, by an MD5 that any engine can repeat."""
+    keyed = F.transform("neighbors", lambda v: F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), "qid", v)).alias("h"), v.alias("v")))
     return neighbors.select("qid", F.transform(F.slice(F.array_sort(keyed), 1, k), lambda s: s["v"]).alias("neighbors"))
 
 

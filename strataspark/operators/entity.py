@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import blank, py_strip, wiki_url
+from ..plans.staging import staged
+from .graph import closure, paths
 
 _CLAIM = "array<struct<mainsnak:struct<datavalue:struct<value:string>>,value:struct<type:string,content:string>>>"
 #: Labels and aliases hold strings or objects; as strings, objects come as their JSON.
@@ -66,20 +68,23 @@ def sitelink(e: Column, site: str) -> Column:
     return F.coalesce(F.try_element_at(e["sitelinks"], F.lit(site))["title"], F.lit(""))
 
 
-def ontology(entities: DataFrame) -> DataFrame:
-    """The table of 19 columns (without `path`), ordered by nothing; of entities with one id the last by `path_order` counts."""
+def ontology(entities: DataFrame, root: str | None = None) -> DataFrame:
+    """The table of 19 columns, and `path` if a root is named, ordered by nothing; of entities with one id the last by `path_order` counts."""
     e = F.col("entity")
     if "path_order" in entities.columns:
         w = Window.partitionBy("entity.id").orderBy(F.desc("path_order"))
         entities = entities.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
     rows = entities.select(
-        e["id"].alias("qid"), F.concat(F.lit("http://www.wikidata.org/entity/"), e["id"]).alias("entity_url"), label(e, "en").alias("en_name"), label(e, "ja").alias("ja_name"),
+        e["id"].alias("qid"), F.concat(F.lit("https://www.wikidata.org/entity/"), e["id"]).alias("entity_url"), label(e, "en").alias("en_name"), label(e, "ja").alias("ja_name"),
         aliases_json(e, "en").alias("en_aliases"), aliases_json(e, "ja").alias("ja_aliases"), image_names(e).alias("img_names"), claim_string(e, "P2426").alias("xeno_canto_species_id"),
         claim_string(e, "P225").alias("taxon_name"), claim_entity(e, "P105").alias("taxon_rank"), claim_entity(e, "P171").alias("parent_taxon"), sitelink(e, "enwiki").alias("enwiki_title"), sitelink(e, "jawiki").alias("jawiki_title"),
     )
+    rows = staged(rows, "entities")  # parsed once, read three times
     names = rows.select(F.col("qid").alias("k"), F.col("en_name").alias("ke"), F.col("ja_name").alias("kj"))
     for col, to in (("taxon_rank", "taxon_rank"), ("parent_taxon", "parent_taxon")):
         rows = rows.join(names, F.col(col) == F.col("k"), "left").withColumn(f"{to}_name", blank("ke")).withColumn(f"{to}_ja_name", blank("kj")).drop("k", "ke", "kj")
+    if root is not None:
+        rows = rows.join(paths(rows, closure(rows), root), "qid")
     return rows.withColumn("enwiki_url", wiki_url(F.lit("en"), F.col("enwiki_title"))).withColumn("jawiki_url", wiki_url(F.lit("ja"), F.col("jawiki_title")))
 
 

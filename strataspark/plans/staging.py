@@ -21,15 +21,18 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def staged(df: DataFrame, label: str = "stage") -> DataFrame:
-    """df written to the shared folder and read again; a lost executor costs only a reread. Where no folder is set: a temporary one if all
-    is one process, as in tests."""
-    spark = df.sparkSession
+    """df written to the shared folder and read again; a lost executor costs only a reread."""
+    path = f"{shared_root(df.sparkSession)}/strata/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where none is set: a temporary one if all is one process, as in tests."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="strata_")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/strata/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return root.rstrip("/")

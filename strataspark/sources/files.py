@@ -34,8 +34,11 @@ def dump_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def entity_files(spark: SparkSession, path: str, glob: str = "Q*.json") -> DataFrame:
     """Whole JSON files below a folder, with their paths."""
-    r = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("wholetext", True)
-    return r.text(path).select("value", F.col("_metadata.file_path").alias("path_order"))
+    r = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True)
+    out = r.select("value", F.col("_metadata.file_path").alias("path_order"))
+    if out.isEmpty():
+        raise FileNotFoundError(f"no {glob} below {path}")
+    return out
 
 
 def page_files(spark: SparkSession, path: str) -> DataFrame:

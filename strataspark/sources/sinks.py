@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import fixed
 from ..operators.entity import sharded
+from ..plans.staging import staged
 from .files import write_tsv
 from .stores import _fs, exists
 
@@ -40,11 +41,15 @@ def replaced(df: DataFrame, path: str, fmt: str = "parquet", **options: str) ->
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A small text file as a whole."""
+    write_bytes(spark, path, text.encode())
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
     made = f"{path}.new-{uuid.uuid4().hex}"
     fs, p = _fs(spark, made)
     out = fs.create(p, True)
     try:
-        out.write(bytearray(text.encode()))
+        out.write(bytearray(content))
     finally:
         out.close()
     swap(spark, made, path)
@@ -85,7 +90,7 @@ def upsert(df: DataFrame, path: str, key: list[str], order: Column | None = None
 def delete_cascade(nodes: str, edges: str, gone: DataFrame) -> None:
     """Takes nodes out of their table, and the edges at them out of theirs."""
     spark = gone.sparkSession
-    ids = gone.select("qid")
+    ids = staged(gone.select("qid"))  # it may read what is replaced here
     replaced(spark.read.parquet(nodes).join(ids, "qid", "left_anti"), nodes)
     e = spark.read.parquet(edges)
     columns = e.columns

@@ -83,7 +83,7 @@ def read_json(spark: SparkSession, path: str):
     """A small JSON file, on the driver."""
     if not exists(spark, path):
         raise FileNotFoundError(path)
-    return json.loads(spark.read.option("wholetext", True).text(path).first()[0])
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
 
 
 def registry(spark: SparkSession, path: str, base: str) -> list[Run]:
@@ -101,7 +101,7 @@ def registry(spark: SparkSession, path: str, base: str) -> list[Run]:
 
 def id_list(spark: SparkSession, path: str) -> DataFrame:
     """(row_idx, value) of a JSON list, or of the list under `qids`, stripped."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     lists = F.coalesce(F.from_json("value", "array<string>"), F.from_json("value", "struct<qids:array<string>>")["qids"])
     if raw.where(lists.isNotNull()).isEmpty():
         raise ValueError(f"neither a list nor an object with one: {path}")

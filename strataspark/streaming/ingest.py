@@ -26,6 +26,11 @@ def deduplicated(events: DataFrame, key: list[str], ts: str, late: str = "10 min
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(key)
 
 
+def once_each(events: DataFrame, key: list[str]) -> DataFrame:
+    """Each key once and for good: keys are never forgotten, so the state grows with them. deduplicated() has a bounded state."""
+    return events.dropDuplicates(key)
+
+
 def tumbling(events: DataFrame, ts: str, size: str, keys: list[str], late: str = "10 minutes") -> DataFrame:
     """Counts and sums by window, closed when the watermark has passed."""
     return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).groupBy(F.window(ts, size), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))

@@ -1,5 +1,6 @@
 from urllib.parse import quote
 
+import pytest
 from pyspark.sql import functions as F
 
 from strataspark.functions import text as X
@@ -65,3 +66,37 @@ def test_vectors(spark):
     assert one(spark, V.argmax(F.col("v")), v=[1.0, 5.0, 5.0]) == 1
     assert abs(sum(one(spark, V.softmax(F.col("v")), v=[1000.0, 1001.0])) - 1) < 1e-12
     assert one(spark, V.sigmoid(F.lit(-1000.0)), v=[0.0]) == 0.0 and one(spark, V.softplus(F.lit(1000.0)), v=[0.0]) == 1000.0
+
+
+def test_lists_and_settings():
+    from strataspark.functions import text as X
+
+    assert X.listed(["graph, audio", "Graph,,"], {"graph", "audio", "language"}) == ["graph", "audio"]
+    assert X.listed("gl,A", {"GL", "A"}, upper=True) == ["GL", "A"]
+    with pytest.raises(ValueError, match="more, other"):
+        X.listed("graph,other,more", {"graph"})
+    lines = ["# KEY=no", "export KEY='quoted'", "KEY=late"]
+    assert X.setting("KEY", " given ", {"KEY": "env"}, lines, "demo") == "given"
+    assert X.setting("KEY", " ", {"KEY": "env"}, lines, "demo") == "env"
+    assert X.setting("KEY", None, {}, lines, "demo") == "quoted"
+    assert X.setting("KEY", None, {"KEY": " "}, ["KEY=", "no line"], "demo") == "demo"
+
+
+def test_encoder_output_and_noise(spark):
+    import numpy as np
+
+    from strataspark.operators import signals
+
+    assert signals.matrix_of([1, 2], 1).shape == (1, 2) and signals.matrix_of([1, 2], 2).shape == (2, 1)
+    assert signals.matrix_of(np.zeros((2, 3, 4)), 2).shape == (2, 12) and signals.matrix_of(5, 1).shape == (1, 1)
+    with pytest.raises(ValueError):
+        signals.matrix_of(np.zeros((3, 2)), 2)
+    with pytest.raises(KeyError):
+        signals.backend("none")
+    assert signals.backend("own", {"own": signals.Backend("own", "file", 8000)}).sample_rate_hz == 8000
+    df = spark.createDataFrame([([1.0] * 10, 1000)], "wave array<float>, rate int")
+    w = signals.cut_samples(df, "wave", "rate", 2.0, noise=0.005).first()
+    x = np.array(w.samples[10:])
+    assert len(w.samples) == 2000 and w.samples[:10] == [1.0] * 10 and 0.0045 < x.std() < 0.0055 and abs(x.mean()) < 0.001
+    # hops round by themselves: 0.5 s of 3 Hz are 2 samples (half to even), 2.0 s are 6
+    assert [r.start for r in signals.windows(spark.createDataFrame([(20, 3)], "n int, rate int"), "n", "rate", 2.5, 0.5).collect()][:2] == [0, 6]
