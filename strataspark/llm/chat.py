@@ -1,12 +1,13 @@
 """Roles of transcript lines by a hidden Markov model, and canonical chat turns (operator 7).
 
-A transcript is a table of messages in order; their lines are the observations. A line's features are a speaker marker at its
-start (one of MARKERS), whether it opens a message, whether the message opens the transcript, how long line and message
-are, how many lines the message has, and whether the message ends with a question mark. Hidden states are the roles;
-from line to line within a message the role stays, between messages it follows transition odds. Both are counted from
-transcripts with known roles (a few hundred sums), with priors that make a marker decisive. Viterbi's recurrence gives the
-roles; neighbouring messages of one role are one turn, rendered as `<|role|>\\ntext\\n<|end|>` without markers, a line of text
-for each message's.
+A transcript is a table of messages in order, each of one or more lines, and the lines are the observations. A line's features are a
+speaker marker at its start (one of MARKERS) and its length; a message's first line also has those of its message: whether it
+opens the transcript, how long it is, how many lines it has, whether it ends with a question mark. Hidden states are the roles.
+Between messages roles follow transition odds; from line to line within a message the role stays, but may switch (SWITCH) where a
+line has a marker, so a message that holds several speakers' lines falls into parts. Emissions, transitions and how far markers
+are to be trusted are counted from transcripts with known roles (a few hundred sums); without any, a marker has log odds of MARKED.
+Viterbi's recurrence gives the roles; neighbouring parts of one role are one turn, rendered as `<|role|>\\ntext\\n<|end|>` without
+markers, a line of text for each message's.
 
 A transcript of any length is split into stretches of STRETCH turn numbers: each stretch gives its best-path table (states
 by states), the tables of a long transcript are combined in order, and stretches are decoded each for itself between
@@ -40,7 +41,8 @@ STRETCH = 256
 FOLDS, HELD_OUT = 3, 1
 _WORDS = {w: ROLES.index(r) for r, ws in MARKERS.items() for w in ws}
 MARK = re.compile(r"^\s*(?:#{1,4}\s*|<\|?|\[|\*{1,2})?(" + "|".join(sorted(_WORDS, key=len, reverse=True)) + r")(?:\|?>|\]|\*{1,2})?\s*(?::|(?<=[>\]])|$)\s*", re.IGNORECASE)
-MARKED = 12.0  # log odds of a marker for its role
+MARKED = 12.0  # log odds of a marker for its role, as long as nothing is counted
+SWITCH = -4.0  # log odds of another role from a line with a marker on, within a message
 BUCKETS = 12
 
 
@@ -64,9 +66,13 @@ SLOTS = LINES + BUCKETS
 GROUPS = [(0, BUCKETS), (BUCKETS, 2 * BUCKETS), (2 * BUCKETS, 3 * BUCKETS), (3 * BUCKETS, 3 * BUCKETS + 2), (3 * BUCKETS + 2, LINES), (LINES, SLOTS)]
 
 
+def line_features(line: str) -> int:
+    return LINES + min(BUCKETS - 1, len(line).bit_length())
+
+
 class Hmm:
-    def __init__(self, emit: np.ndarray, move: np.ndarray, begin: np.ndarray):
-        """Counts: features by role and slot, role after role, first role."""
+    def __init__(self, emit: np.ndarray, move: np.ndarray, begin: np.ndarray, marks: tuple[float, float] = (0, 0)):
+        """Counts: features by role and slot, role after role, first role; messages whose marker names their role, and another."""
         log = np.zeros((len(ROLES), SLOTS))
         for a, b in GROUPS:
             part = emit[:, a:b] + 1.0
@@ -74,31 +80,44 @@ class Hmm:
         self.emit = log
         self.move = np.log((move + 1.0) / (move + 1.0).sum(1, keepdims=True))
         self.begin = np.log((begin + 1.0) / (begin + 1.0).sum())
+        self.marked = float(np.log((marks[0] + 1) / (marks[1] + np.exp(-MARKED))))
+        self.stays = np.where(np.eye(len(ROLES)) > 0, 0.0, -np.inf)
+        self.may_switch = np.where(np.eye(len(ROLES)) > 0, np.log1p(-(len(ROLES) - 1) * np.exp(SWITCH)), SWITCH)
+
+    def lines(self, text: str, first: bool) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Scores of a message's lines by role, and the transitions into each; into the first: from the message before."""
+        split = text.split("\n")
+        e = np.array([self.emit[:, line_features(x)] for x in split])
+        into = [self.move]
+        for k, x in enumerate(split):
+            role, _ = mark_of(x)
+            if role >= 0:
+                e[k, role] += self.marked
+            if k:
+                into.append(self.may_switch if role >= 0 else self.stays)
+        n = len(message_features(text, first)) - len(split)
+        e[0] += self.emit[:, message_features(text, first)[:n]].sum(1) + (self.begin if first else 0)
+        return e, into
 
     def scores(self, text: str, first: bool) -> np.ndarray:
-        """Of a message by role. Its lines share the role, so their markers add up."""
-        s = self.emit[:, message_features(text, first)].sum(1)
-        for line in text.split("\n"):
-            role, _ = mark_of(line)
-            if role >= 0:
-                s[role] += MARKED
-        return s + (self.begin if first else 0)
+        """Of a message by role, if all its lines have one."""
+        return self.lines(text, first)[0].sum(0)
 
-    def table(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best sums over messages with scores e, by the role before the first and the role of the last; and the first role."""
-        m = self.move + e[0]
+    def table(self, e: np.ndarray, into: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Best sums over lines with scores e, by the role before the first and the role of the last; and the first role."""
+        m = into[0] + e[0]
         first = np.tile(np.arange(len(ROLES)), (len(ROLES), 1))
-        for x in e[1:]:
-            both = m[:, :, None] + self.move[None]
+        for x, t in zip(e[1:], into[1:], strict=True):
+            both = m[:, :, None] + t[None]
             first = np.take_along_axis(first, both.argmax(1), 1)
             m = both.max(1) + x
         return m, first
 
-    def decode(self, e: np.ndarray, before: int = -1, last: int = -1) -> list[int]:
-        """The best roles of messages with scores e; before: the role ahead of them, last: that of the last, if known."""
-        v, back = e[0] + (self.move[before] if before >= 0 else 0), []
-        for x in e[1:]:
-            both = v[:, None] + self.move
+    def decode(self, e: np.ndarray, into: list[np.ndarray], before: int = -1, last: int = -1) -> list[int]:
+        """The best roles of lines with scores e; before: the role ahead of them, last: that of the last, if known."""
+        v, back = e[0] + (into[0][before] if before >= 0 else 0), []
+        for x, t in zip(e[1:], into[1:], strict=True):
+            both = v[:, None] + t
             back.append(both.argmax(0))
             v = both.max(0) + x
         r = last if last >= 0 else int(v.argmax())
@@ -108,6 +127,11 @@ class Hmm:
             out.append(r)
         return out[::-1]
 
+    def lines_of(self, messages: list[tuple[str, bool]]) -> tuple[np.ndarray, list[np.ndarray], list[int]]:
+        """lines() of several messages in a row, and how many each has."""
+        got = [self.lines(t, f) for t, f in messages]
+        return np.concatenate([e for e, _ in got]), [t for _, into in got for t in into], [len(e) for e, _ in got]
+
 
 def fit(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str = "role") -> Hmm:
     """From all messages of transcripts that are not held out and whose role is known."""
@@ -116,7 +140,7 @@ def fit(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
     firsts = base.groupBy("c").agg(F.min("n").alias("n0")).withColumnRenamed("c", "c2")
 
     def run(batches):
-        emit, move, begin = np.zeros((len(ROLES), SLOTS), np.int64), np.zeros((len(ROLES),) * 2, np.int64), np.zeros(len(ROLES), np.int64)
+        emit, move, begin, marks = np.zeros((len(ROLES), SLOTS), np.int64), np.zeros((len(ROLES),) * 2, np.int64), np.zeros(len(ROLES), np.int64), np.zeros(2, np.int64)
         last = None
         for b in batches:
             for c, g, n, r, t, n0 in zip(*(x.to_pylist() for x in b.columns), strict=True):
@@ -124,19 +148,22 @@ def fit(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
                 if k >= 0:
                     np.add.at(emit[k], message_features(t, n == n0), 1)
                     begin[k] += n == n0
+                    marker, _ = mark_of(t.split("\n", 1)[0])
+                    if marker >= 0:
+                        marks[int(marker != k)] += 1
                     if last is not None and last[:2] == (c, g) and last[2] >= 0:
                         move[last[2], k] += 1
                 last = (c, g, k)
-        flat = np.concatenate([emit.ravel(), move.ravel(), begin])
+        flat = np.concatenate([emit.ravel(), move.ravel(), begin, marks])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat)], ["slot", "n"])
 
     dealt = base.join(firsts, F.col("c").eqNullSafe(F.col("c2"))).select("c", "g", "n", "r", "t", "n0").repartition("c", "g").sortWithinPartitions("c", "g", "n", "t")
-    size = len(ROLES) * SLOTS + len(ROLES) ** 2 + len(ROLES)
+    size = len(ROLES) * SLOTS + len(ROLES) ** 2 + len(ROLES) + 2
     flat = np.zeros(size)
     for r in dealt.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():
         flat[r.slot] = r.n
     a, b = len(ROLES) * SLOTS, len(ROLES) ** 2
-    return Hmm(flat[:a].reshape(len(ROLES), SLOTS), flat[a : a + b].reshape(len(ROLES), -1), flat[a + b :])
+    return Hmm(flat[:a].reshape(len(ROLES), SLOTS), flat[a : a + b].reshape(len(ROLES), -1), flat[a + b : -2], tuple(flat[-2:]))
 
 
 def _stretches(batches, width: int):
@@ -154,8 +181,9 @@ def _stretches(batches, width: int):
 
 
 def roles(messages: DataFrame, model: Hmm, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
-    """conv_id, turn, text (as it was) and role_pred of every message, and whether it opens and closes a turn: the message before
-    or after it in the transcript, of whatever stretch, is of another role or there is none."""
+    """conv_id, turn, text (as it was) and role_pred (of its first line) of every message, whether it opens and closes a turn (the line
+    before or after it in the transcript, of whatever stretch, is of another role or there is none), and its parts by role: first
+    line, end, role."""
     spark = ready(messages.sparkSession)
     shared = spark.sparkContext.broadcast(model)
     base = messages.select(F.col(conv_col).alias("c"), F.floor(F.col(turn_col) / STRETCH).cast("long").alias("g"), F.col(turn_col).alias("n"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), F.col(text_col).alias("raw"))
@@ -170,10 +198,10 @@ def roles(messages: DataFrame, model: Hmm, conv_col: str = "conv_id", turn_col:
     def tables(batches):
         m = shared.value
         for rows in _stretches(batches, 4):
-            e = np.array([m.scores(t, bool(f)) for _, _, t, f in rows])
-            best, opening = m.table(e)
+            e, into, _ = m.lines_of([(t, bool(f)) for _, _, t, f in rows])
+            best, opening = m.table(e, into)
             if rows[0][3]:
-                best = np.tile(_from_start(m, e), (len(ROLES), 1))
+                best = np.tile(_from_start(e, into), (len(ROLES), 1))
             yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]], kind), pa.array([rows[0][1]], pa.int64()), pa.array([best.ravel().tolist()], pa.list_(pa.float64())), pa.array([opening.ravel().tolist()], pa.list_(pa.int32()))], ["c", "g", "best", "opening"])
 
     conv_type = base.schema["c"].dataType
@@ -204,27 +232,58 @@ def roles(messages: DataFrame, model: Hmm, conv_col: str = "conv_id", turn_col:
     def decode(batches):
         m = shared.value
         for rows in _stretches(batches, 9):
-            e = np.array([m.scores(r[3], bool(r[5])) for r in rows])
+            e, into, sizes = m.lines_of([(r[3], bool(r[5])) for r in rows])
             before, last, after = (-1 if x is None else x for x in rows[0][6:9])
-            got = m.decode(e, before, last)
-            turned = [x != y for x, y in zip([before, *got], [*got, after], strict=True)]  # before each message, and behind the last
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kind), pa.array([r[2] for r in rows], to_arrow_type(turn_type)), pa.array([r[4] for r in rows], pa.string()), pa.array([ROLES[k] for k in got]), pa.array(turned[:-1]), pa.array(turned[1:])], [conv_col, turn_col, text_col, "role_pred", "opens", "closes"])
+            got = m.decode(e, into, before, last)
+            turned = [x != y for x, y in zip([before, *got], [*got, after], strict=True)]  # before each line, and behind the last
+            parts, firsts, ends, at = [], [], [], 0
+            for n in sizes:
+                cuts = [0, *(k for k in range(1, n) if turned[at + k]), n]
+                parts.append([{"first": a, "end": b, "role": ROLES[got[at + a]]} for a, b in zip(cuts, cuts[1:], strict=False)])
+                firsts.append(at)
+                at += n
+                ends.append(at)
+            cols = [pa.array([r[0] for r in rows], kind), pa.array([r[2] for r in rows], to_arrow_type(turn_type)), pa.array([r[4] for r in rows], pa.string()), pa.array([ROLES[got[k]] for k in firsts])]
+            cols += [pa.array([turned[k] for k in firsts]), pa.array([turned[k] for k in ends]), pa.array(parts, PARTS)]
+            yield pa.RecordBatch.from_arrays(cols, [conv_col, turn_col, text_col, "role_pred", "opens", "closes", "parts"])
+
+    schema = f"{conv_col} {conv_type.simpleString()}, {turn_col} {turn_type.simpleString()}, {text_col} string, role_pred string, opens boolean, closes boolean, parts array<struct<first:int,end:int,role:string>>"
+    return sorted_(both.select("c", "g", "n", "t", "raw", "first", "before", "last", "after")).mapInArrow(decode, schema)
 
-    return sorted_(both.select("c", "g", "n", "t", "raw", "first", "before", "last", "after")).mapInArrow(decode, f"{conv_col} {conv_type.simpleString()}, {turn_col} {turn_type.simpleString()}, {text_col} string, role_pred string, opens boolean, closes boolean")
 
+PARTS = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("role", pa.string())]))
 
-def _from_start(m: Hmm, e: np.ndarray) -> np.ndarray:
-    """Best sums of a transcript's first messages by the role of the last."""
+
+def _from_start(e: np.ndarray, into: list[np.ndarray]) -> np.ndarray:
+    """Best sums of a transcript's first lines by the role of the last."""
     v = e[0]
-    for x in e[1:]:
-        v = (v[:, None] + m.move).max(0) + x
+    for x, t in zip(e[1:], into[1:], strict=True):
+        v = (v[:, None] + t).max(0) + x
     return v
 
 
-def canonical(found: DataFrame, text_col: str = "text") -> DataFrame:
-    """The messages of roles() with `rendered`, without the speaker's marker: a message that opens a turn has its header, one that closes
-    it the end mark, so those of a turn joined by line ends are its canonical form."""
+def _part_text(text_col: str, first, end):
+    """The lines of a part, without the marker that its first line begins with."""
     mark = MARK.pattern.replace("^", "(?i)^", 1)
-    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), F.lit(mark), F.lit(""))
-    header = F.when(F.col("opens"), F.concat(F.lit("<|"), "role_pred", F.lit("|>\n"))).otherwise("")
-    return found.withColumn("rendered", F.concat(header, text, F.when(F.col("closes"), "\n<|end|>").otherwise("")))
+    lines = F.slice(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1), first + 1, end - first)
+    return F.array_join(F.transform(lines, lambda x, i: F.when(i == 0, F.regexp_replace(x, F.lit(mark), F.lit(""))).otherwise(x)), "\n")
+
+
+def canonical(found: DataFrame, text_col: str = "text") -> DataFrame:
+    """The messages of roles() with `rendered`, without speakers' markers: a part that opens a turn has its header, one that closes
+    it the end mark, so the messages of a transcript joined by line ends are its canonical form."""
+    last = F.size("parts") - 1
+
+    def part(x, i):
+        header = F.when((i > 0) | F.col("opens"), F.concat(F.lit("<|"), x["role"], F.lit("|>\n"))).otherwise("")
+        end = F.when((i < last) | F.col("closes"), "\n<|end|>").otherwise("")
+        return F.concat(header, _part_text(text_col, x["first"], x["end"]), end)
+
+    return found.withColumn("rendered", F.array_join(F.transform("parts", part), "\n"))
+
+
+def turns(found: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text") -> DataFrame:
+    """A row for each part: conv_id, turn, part (from 0), role, text without its marker, and whether it begins a turn."""
+    x = found.select(conv_col, turn_col, "opens", text_col, F.posexplode("parts").alias("part", "x"))
+    own = _part_text(text_col, F.col("x.first"), F.col("x.end"))
+    return x.select(conv_col, turn_col, "part", F.col("x.role").alias("role"), own.alias(text_col), ((F.col("part") > 0) | F.col("opens")).alias("begins"))

@@ -170,6 +170,59 @@ def test_turns_go_on_over_stretches(spark):
     assert "\n".join(r.rendered for r in got) == "\n".join(f"<|{x[0]}|>\n" + "\n".join(x[1:]) + "\n<|end|>" for x in want)
 
 
+def brute_lines(m, texts):
+    """Roles of all lines by the plain recurrence over a whole transcript."""
+    e, into, sizes = m.lines_of([(t or "", k == 0) for k, t in enumerate(texts)])
+    v, back = e[0], []
+    for x, t in zip(e[1:], into[1:], strict=True):
+        both = v[:, None] + t
+        back.append(both.argmax(0))
+        v = both.max(0) + x
+    out = [int(v.argmax())]
+    for b in reversed(back):
+        out.append(int(b[out[-1]]))
+    return [chat.ROLES[k] for k in out[::-1]], sizes
+
+
+def test_messages_of_several_speakers_fall_into_parts(spark):
+    m, rnd = model(), random.Random(21)
+    names = ["User", "Assistant", "System"]
+    texts = []
+    for _ in range(600):
+        lines = []
+        for _ in range(rnd.randrange(1, 5)):
+            lines.append(rnd.choice(["", f"{rnd.choice(names)}: "]) + "word " * rnd.randrange(0, 30))
+        texts.append("\n".join(lines))
+    df = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "conv_id long, turn long, text string").repartition(3)
+    found = chat.roles(df, m)
+    got = sorted(chat.canonical(found).collect(), key=lambda r: r.turn)
+    want, sizes = brute_lines(m, texts)
+    assert [r for g in got for p in g.parts for r in [p.role] * (p.end - p.first)] == want
+    assert sum(len(g.parts) > 1 for g in got) > 50
+    # the whole rendered transcript against a plain one
+    plain, at, before = [], 0, None
+    for t, n in zip(texts, sizes, strict=True):
+        for a in range(n):
+            role = want[at + a]
+            if role != before:
+                plain += ([] if before is None else ["<|end|>"]) + [f"<|{role}|>"]
+            line = t.split("\n")[a]
+            plain.append(line[chat.mark_of(line)[1] :] if a == 0 or role != before else line)  # a part begins here
+            before = role
+        at += n
+    assert "\n".join(r.rendered for r in got) == "\n".join([*plain, "<|end|>"])
+    rows = sorted(chat.turns(found).collect(), key=lambda r: (r.turn, r.part))
+    assert len(rows) == sum(len(g.parts) for g in got) and [r.role for r in rows if r.begins] == [r for k, r in enumerate(want) if not k or want[k - 1] != r]
+
+
+def test_markers_weigh_as_much_as_they_are_right(spark):
+    rows = [(c, k, f"{'User' if (c + k) % 4 else 'Assistant'}: hello", "user") for c in range(60) for k in range(4)]
+    m = chat.fit(spark.createDataFrame(rows, "conv_id long, turn long, text string, role string"))
+    n = sum(1 for r in rows if zlib.crc32(str(r[0]).encode()) % 3 != 1)
+    assert abs(m.marked - np.log((n * 3 / 4 + 1) / (n / 4))) < 0.01
+    assert chat.Hmm(np.zeros((3, chat.SLOTS)), np.zeros((3, 3)), np.zeros(3)).marked == pytest.approx(chat.MARKED)
+
+
 def test_lengths_of_lines_are_features():
     short, long = (chat.message_features(t, False) for t in ("a\nbb\n" + "c" * 60, "a" * 31 + "\n" + "b" * 31 + "\nc"))
     assert short[:5] == long[:5] and sorted(short[5:]) != sorted(long[5:])
