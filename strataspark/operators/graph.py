@@ -6,6 +6,8 @@ nor recursion limits grow with the depth. A path is carried along, so that cycle
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,10 +64,11 @@ def children(nodes: DataFrame, edges: DataFrame, parent: str) -> DataFrame:
     return edges.where(F.col("parent_qid") == parent).select(F.col("child_qid").alias("qid")).join(nodes, "qid").select(*nodes.columns).orderBy("qid")
 
 
-def descendants(nodes: DataFrame, edges: DataFrame, root: str, max_depth: int | None = None, stage_every: int = 8) -> DataFrame:
-    """The root and what is below it, with depth: once for each path, cycles end. max_depth 0 gives the root only."""
+def descendants(nodes: DataFrame, edges: DataFrame, root: str, max_depth: int | None = None, stage_every: int = 4) -> DataFrame:
+    """The root and what is below it, with depth: once for each path, cycles end. max_depth 0 gives the root only. Levels are written
+    and joined `stage_every` at a time; a written stretch that has no row ends the walk."""
     level = nodes.where(F.col("qid") == root).select("qid", F.lit(0).alias("depth"), F.array("qid").alias("__path"))
-    out, step = [level], 0
+    out, here, step = [level], [], 0
     e = edges.select(F.col("parent_qid").alias("__p"), F.col("child_qid").alias("__c"))
     known = nodes.select(F.col("qid").alias("__c"))
     e = e.join(known, "__c", "left_semi")
@@ -74,32 +77,36 @@ def descendants(nodes: DataFrame, edges: DataFrame, root: str, max_depth: int |
     while max_depth is None or step < max_depth:
         step += 1
         level = level.join(e, F.col("qid") == F.col("__p")).where(~F.array_contains("__path", F.col("__c"))).select(F.col("__c").alias("qid"), (F.col("depth") + 1).alias("depth"), F.array_append("__path", F.col("__c")).alias("__path"))
-        if step % stage_every == 0 or max_depth is None:
-            level = staged(level, "level")
-            if level.isEmpty():
+        here.append(level)
+        if step % stage_every == 0 or step == max_depth:
+            # all levels of the stretch in one table, from which the next goes on
+            rows = staged(functools.reduce(DataFrame.union, here), "level")
+            out.append(rows)
+            level, here = rows.where(F.col("depth") == step), []
+            if step != max_depth and level.isEmpty():
                 break
-        out.append(level)
-    got = out[0]
-    for x in out[1:]:
-        got = got.union(x)
-    return got.drop("__path")
+    return functools.reduce(DataFrame.union, out).drop("__path")
 
 
-def closure(nodes: DataFrame, parent: str = "parent_taxon", max_levels: int | None = None) -> DataFrame:
+def closure(nodes: DataFrame, parent: str = "parent_taxon", max_levels: int | None = None, stage_every: int = 4) -> DataFrame:
     """(qid, ancestor, distance) of every node, by the parent attribute: chains end at a missing node or a cycle; self is
     left out. Starts from every node, since a real taxonomy is a forest."""
     up = staged(nodes.select(F.col("qid").alias("__q"), F.col(parent).alias("__up")), "parents")
     level = up.select(F.col("__q").alias("qid"), F.col("__q").alias("ancestor"), F.lit(0).alias("distance"), F.col("__up").alias("__next"), F.array("__q").alias("__seen"))
-    out, step = None, 0
+    out, here, step = [], [], 0
     while max_levels is None or step < max_levels:
         step += 1
         level = level.where((blank("__next") != "") & ~F.array_contains("__seen", F.col("__next"))).select("qid", F.col("__next").alias("__q"), (F.col("distance") + 1).alias("distance"), "__seen").join(up, "__q")
-        level = staged(level.select("qid", F.col("__q").alias("ancestor"), "distance", F.col("__up").alias("__next"), F.array_append("__seen", F.col("__q")).alias("__seen")), "closure")
-        if level.isEmpty():
-            break
-        part = level.select("qid", "ancestor", "distance")
-        out = part if out is None else out.union(part)
-    return out if out is not None else level.select("qid", "ancestor", "distance")
+        level = level.select("qid", F.col("__q").alias("ancestor"), "distance", F.col("__up").alias("__next"), F.array_append("__seen", F.col("__q")).alias("__seen"))
+        here.append(level)
+        if step % stage_every == 0 or step == max_levels:
+            # all levels of the stretch in one table, from which the next goes on
+            rows = staged(functools.reduce(DataFrame.union, here), "closure")
+            out.append(rows)
+            level, here = rows.where(F.col("distance") == step), []
+            if step != max_levels and level.isEmpty():
+                break
+    return functools.reduce(DataFrame.union, out or [level.where("false")]).select("qid", "ancestor", "distance")
 
 
 def paths(nodes: DataFrame, ancestors: DataFrame, root: str, parent: str = "parent_taxon") -> DataFrame:
@@ -125,7 +132,7 @@ def leaves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def subtree_sizes(nodes: DataFrame, edges: DataFrame, ancestors: DataFrame) -> DataFrame:
     """Strict descendants and leaf descendants of every node."""
     leaf = leaves(nodes, edges).select("qid", F.lit(1).alias("leaf"))
-    n = ancestors.join(leaf, "qid", "left").groupBy("ancestor").agg(F.countDistinct("qid").alias("n"), F.countDistinct(F.when(F.col("leaf") == 1, F.col("qid"))).alias("l"))
+    n = ancestors.join(leaf, "qid", "left").groupBy("ancestor").agg(F.count("*").alias("n"), F.sum("leaf").alias("l"))  # a node has an ancestor once
     zero = lambda c, to: F.coalesce(F.col(c), F.lit(0)).alias(to)
     return nodes.join(n.withColumnRenamed("ancestor", "qid"), "qid", "left").select(*nodes.columns, zero("n", "assigned_node_count"), zero("l", "assigned_leaf_node_count"))
 

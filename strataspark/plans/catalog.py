@@ -387,8 +387,8 @@ def markup_strip(s, d):
 @query("sentence_split", r"""WITH p AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(text, '([。．！？.!?])\s+', '\1' || chr(1), 'g'), '\x01|\n+')) AS x FROM documents), q AS (SELECT doc_id, trim(x, E' \t\n\r') AS x FROM p)
  SELECT doc_id, count(*) AS n, sum(length(x))::BIGINT AS chars FROM q WHERE length(x) >= 20 GROUP BY 1""")
 def sentence_split(s, d):
-    x = read(s, d, "documents").select("doc_id", F.explode(X.sentences("text")).alias("x"))
-    return x.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.length("x")).alias("chars"))
+    x = read(s, d, "documents").select("doc_id", F.transform(X.sentences("text"), F.length).alias("x"))
+    return x.where("size(x) > 0").select("doc_id", F.size("x").cast("long").alias("n"), F.aggregate("x", F.lit(0).cast("long"), lambda a, n: a + n).alias("chars"))
 
 
 @query("wiki_clean", r"""SELECT n_nationkey, n_name || ' is a thing; see ' || n_name || '.' AS plain FROM nation""")
