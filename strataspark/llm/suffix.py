@@ -42,6 +42,8 @@ LENGTH, GRAM = 100, 32
 SEGMENT = 2_000_000
 #: Bytes of sort keys that a task gathers from its segments before it hands on sorted runs.
 RUN = 16_000_000
+#: Bytes of text for each bucket of grams, at most.
+BUCKET = 64_000_000
 #: Surroundings of one gram that meet in one task.
 HOT = 20_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -402,8 +404,9 @@ def _found(runs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_bytes: bool = True, hot: int = HOT) -> DataFrame:
     """id, n_bytes, n_removed, n_spans (removed runs), kept_sha256, and kept, the bytes that stay."""
     spark = ready(docs.sparkSession)
-    buckets = parts(spark)
     segs = segments(docs, id_col, text_col)
+    # what a bucket's grams and runs take follows from the input, whatever the number of partitions
+    buckets = max(parts(spark), -(-segs.count() * SEGMENT // BUCKET))
     runs = _runs(segs, _asked(segs, buckets, hot), buckets)
     windows = runs.where("kind = 2").select("data", "doc", "seg", "start")
     own = windows.groupBy("data").agg(F.min(F.struct("doc", "seg", "start")).alias("first"))
