@@ -53,7 +53,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, label: str, slim: bool = False) -> DataFrame:
     """Writes df to the shared folder and reads it again: the plan behind it is not run twice, and a lost executor
-    costs only a reread. slim: rows of a few numbers, so that a file may hold those of eight partitions."""
+    costs only a reread. slim: rows of a few numbers, made with little work, as eight partitions become one task and file."""
     spark = df.sparkSession
     if slim:
         df = df.coalesce(max(1, parts(spark) // 8))

@@ -305,7 +305,7 @@ def _confirmed(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
             ok = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    return cut(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "confirmed", slim=True)
+    return cut(both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long"), "confirmed")
 
 
 def _across(members: DataFrame, group: list[str], test, label: str = "comp", data: str = "data") -> DataFrame:
@@ -337,7 +337,7 @@ def _across(members: DataFrame, group: list[str], test, label: str = "comp", dat
                         found.append((na[i].as_py(), nb[j].as_py()))
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-    out = cut(asked.join(held, [*group, "pack"]).select("asked", "held").mapInArrow(run, "a long, b long"), "across", slim=True)
+    out = cut(asked.join(held, [*group, "pack"]).select("asked", "held").mapInArrow(run, "a long, b long"), "across")
     discard(sizes)
     return out
 
@@ -387,14 +387,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     # a smaller set links with none but its equals
     able = classes.where(F.col("n") * (100 - percent) >= percent)
-    pairs = cut(_estimated(_neighbours(_keyed(able)), able, percent), "pairs", slim=True)
+    pairs = cut(_estimated(_neighbours(_keyed(able)), able, percent), "pairs")
     clusters = _clusters(able, pairs, percent)
     clusters = cut(clusters.union(clusters.select(F.col("comp").alias("node"), "comp").distinct()).toDF("node", "cluster"), "clusters", slim=True)
     sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = clusters.join(sizes, "cluster").select("node", "cluster", "blocks", F.expr("pmod(xxhash64(node), blocks)").alias("block"))
     blocks = cut(blocks.join(classes.select("node", "rep", "sig"), "node"), "blocks", slim=True)
     members = cut(_sets(docs, blocks, words, unique), "members")
-    links = cut(_block_links(members, percent), "block_links", slim=True)
+    links = cut(_block_links(members, percent), "block_links")
     comps = components(links, "a", "b")
 
     split = members.where("blocks > 1")

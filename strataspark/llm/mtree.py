@@ -11,7 +11,7 @@ product is a smaller distance, so an M-tree applies.
    gives it a bound, and then by all other trees, blocks against trees dealt over all tasks. A query doesn't enter a tree whose
    root's ball lies beyond its bound. In a tree, nodes are visited best first; by the triangle inequality a stored distance
    to the parent rules out nodes and entries before their own distance is computed. Scores of what is left are exact
-   whole-number products. `computed` says how many distances it took.
+   whole-number products. A pack's queries go through a tree together. `computed` says how many distances it took.
 
 Nothing of the table is gathered on the driver but the sample; neither queries nor trees are broadcast. Null vectors, and such with
 null, NaN or infinite components or none at all, take no part; vectors of different lengths are not compared; null ids take no
@@ -36,6 +36,8 @@ FAN = 16
 QUERY_BLOCK = 256
 TREE_ROWS = 8192
 PIVOTS, SAMPLE = 64, 4096
+#: How much farther than the nearest query of a pack others may be from a node to visit it at once, as a share of the bound.
+APART = 0.2
 
 
 class Node:
@@ -166,6 +168,76 @@ class MTree:
         return sorted(((s, -e) for s, e in found), key=lambda x: (-x[0], x[1]))
 
 
+def search_many(t: MTree, queries: np.ndarray, k: int, skips: list[int], leasts: list[int | None]) -> list[list[tuple[int, int]]]:
+    """search() for several queries (rows of whole numbers) at once: a node is visited if it may hold something for one of them, best bound
+    first, and what is computed there is one product of matrices, for the queries and entries that bounds leave."""
+    most = max(1, int(abs(t.v).max())) * max(1, int(abs(queries).max())) * t.v.shape[1]
+    if t.v.dtype == object or queries.dtype == object or most >= 1 << 52:
+        return [t.search(q, k, s, low) for q, s, low in zip(queries, skips, leasts, strict=True)]
+    y = np.concatenate([queries.astype(np.float64), np.zeros((len(queries), 1))], axis=1)
+    base = (y * y).sum(1) + t.m2
+    slack = 1e-6 * (1 + np.sqrt(base))
+    limit = np.array([np.inf if low is None else max(0.0, b - 2 * low) ** 0.5 for b, low in zip(base, leasts, strict=True)])
+    found: list[list[tuple[int, int]]] = [[] for _ in queries]  # the best so far, best first, as (-score, id)
+
+    def near(rows: np.ndarray, center: np.ndarray) -> np.ndarray:
+        t.computed += len(rows)
+        return np.sqrt(((y[rows] - center) ** 2).sum(1))
+
+    rows = np.arange(len(queries))
+    d = near(rows, t.root.center)
+    heap = [(float((d - t.root.radius).min()), 0, rows, d, t.root)]
+    n = 1
+    while heap:
+        _, _, rows, d, node = heapq.heappop(heap)
+        ok = d - node.radius <= (limit + slack)[rows]
+        rows, d = rows[ok], d[ok]
+        if not len(rows):
+            continue
+        low = d - node.radius
+        far = low > low.min() + APART * limit[rows].min()
+        if far.any() and not far.all():
+            # others have nearer nodes to visit first, which may rule this one out
+            heapq.heappush(heap, (float(low[far].min()), n, rows[far], d[far], node))
+            n, rows, d = n + 1, rows[~far], d[~far]
+        if node.entries is None:
+            for c in node.children:
+                ok = np.abs(d - c.to_parent) - c.radius <= (limit + slack)[rows]
+                if ok.any():
+                    below = rows[ok]
+                    dc = near(below, c.center)
+                    gap = dc - c.radius - (limit + slack)[below]
+                    if gap.min() <= 0:
+                        heapq.heappush(heap, (float((dc - c.radius)[gap <= 0].min()), n, below[gap <= 0], dc[gap <= 0], c))
+                        n += 1
+            continue
+        may = np.abs(d[:, None] - node.dists) <= (limit + slack)[rows][:, None]
+        rows, may = rows[may.any(axis=1)], may[may.any(axis=1)]
+        entries, may = node.entries[may.any(axis=0)], may[:, may.any(axis=0)]
+        if not len(rows):
+            continue
+        if may.mean() > 0.5:
+            t.computed += may.size
+            scores = y[rows, :-1] @ t.v[entries].T.astype(np.float64)
+        else:
+            # few of the block's pairs are left: only these
+            i, j = np.nonzero(may)
+            t.computed += len(i)
+            scores = np.full(may.shape, -np.inf)
+            scores[i, j] = (y[rows[i], :-1] * t.v[entries[j]]).sum(1)
+        worst = np.array([-found[r][-1][0] if len(found[r]) == k else -np.inf for r in rows])
+        for i in np.flatnonzero(((scores >= worst[:, None]) & (scores > -np.inf)).any(axis=1)).tolist():
+            r = rows[i]
+            good = np.flatnonzero((scores[i] >= worst[i]) & (scores[i] > -np.inf))
+            if len(good) > 4 * k:
+                good = good[scores[i][good] >= -np.partition(-scores[i][good], k)[k]]  # one may be skipped, k others are enough
+            new = [(-int(scores[i][j]), int(e)) for j in good for e in t.ids[entries[j]][: k + 1] if e != skips[r]]
+            found[r] = sorted(found[r] + new)[:k]
+            if len(found[r]) == k:
+                limit[r] = min(limit[r], max(0.0, base[r] + 2 * found[r][-1][0]) ** 0.5)
+    return [[(-s, e) for s, e in x] for x in found]
+
+
 def packed(v: np.ndarray) -> bytes:
     """Whole numbers in as few bytes as hold them, or as text beyond 64 bits; the first byte says which."""
     if v.dtype == object:
@@ -303,12 +375,13 @@ def _answered(packs: DataFrame, index: Index, k: int) -> DataFrame:
                 if tree.as_py() != last:
                     last, t = tree.as_py(), MTree.of(pages.as_py())
                 width = len(t.root.center) - 1
-                for q in asked.as_py():
-                    if q["size"] != width:
-                        continue
-                    t.computed = 0
-                    got = t.search(unpacked(q["v"], width)[0], k, q["i"], q["least"])
-                    out += [(q["i"], s, e, t.computed if at == 0 else 0) for at, (s, e) in enumerate(got)] or [(q["i"], None, None, t.computed)]
+                own = [q for q in asked.as_py() if q["size"] == width]
+                if not own:
+                    continue
+                t.computed = 0
+                got = search_many(t, np.concatenate([unpacked(q["v"], width) for q in own]), k, [q["i"] for q in own], [q["least"] for q in own])
+                out += [(q["i"], s, e, 0) for q, found in zip(own, got, strict=True) for s, e in found]
+                out.append((own[0]["i"], None, None, t.computed))
             yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], pa.int64()) for j in range(4)], ["query_id", "score", "vec_id", "computed"])
 
     return both.mapInArrow(run, "query_id long, score long, vec_id long, computed long")
@@ -316,7 +389,7 @@ def _answered(packs: DataFrame, index: Index, k: int) -> DataFrame:
 
 def search(index: Index, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, score, vec_id: the best of the trees that each query entered, its k best of all among them, and computed, the distances
-    that took (once for each query and tree; a row without a score only says that)."""
+    that took (of a pack in a tree; in a row without a score)."""
     spark = ready(queries.sparkSession)
     asked = _rows(queries, id_col, vec_col, index.pivots).groupBy("i").agg(F.min(F.struct("size", "v", "pivot")).alias("x")).select("i", "x.*")
     # a tree of each pivot, and one of each length: as many rows as pivots
@@ -330,10 +403,10 @@ def search(index: Index, queries: DataFrame, k: int = 5, id_col: str = "vec_id",
         spread = F.pmod(F.xxhash64("i"), F.col("blocks"))
         return t.join(F.broadcast(per_home), "home").groupBy("home", spread.alias("block")).agg(F.collect_list(F.struct("i", "size", "v", "home", "least")).alias("asked"))
 
-    first = cut(_answered(packs(placed.withColumn("least", F.lit(None).cast("long"))).withColumnRenamed("home", "tree"), index, k), "at_home", slim=True)
+    first = cut(_answered(packs(placed.withColumn("least", F.lit(None).cast("long"))).withColumnRenamed("home", "tree"), index, k), "at_home")
     bound = first.where("score is not null").groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k).select(F.col("query_id").alias("i"), "least")
     others = packs(placed.join(bound, "i", "left")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(max(0, index.trees - 1))).cast("array<long>"))).where("tree <> home")
-    out = cut(first.union(_answered(others.select("tree", "asked"), index, k)), "found", slim=True)
+    out = cut(first.union(_answered(others.select("tree", "asked"), index, k)), "found")
     discard(first, placed)
     return out
 

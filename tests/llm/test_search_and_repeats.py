@@ -48,6 +48,26 @@ def test_bounds_save_distances():
     assert t.computed < 20 * 6000 / 4
 
 
+def test_queries_together_get_what_each_gets_alone():
+    rng = np.random.default_rng(12)
+    centers = rng.integers(-900, 900, (20, 5))
+    v = (centers[rng.integers(0, 20, 4000)] + rng.integers(-9, 9, (4000, 5))).astype(np.int64)
+    ids = rng.permutation(8000)[:4000]
+    t = mtree.MTree(v, ids)
+    q = np.concatenate([v[:40], rng.integers(-900, 900, (20, 5))])
+    skips = [int(i) for i in ids[:40]] + [-1] * 20
+    alone = [t.search(x, 5, s) for x, s in zip(q, skips, strict=True)]
+    t.computed = 0
+    assert mtree.search_many(t, q, 5, skips, [None] * 60) == alone
+    assert t.computed < 60 * 4000 / 3
+    leasts = [a[-1][0] for a in alone]
+    assert mtree.search_many(t, q, 5, skips, leasts) == alone
+    few = mtree.MTree(v[:3], ids[:3])
+    assert mtree.search_many(few, q, 5, skips, [None] * 60) == [few.search(x, 5, s) for x, s in zip(q, skips, strict=True)]
+    big = mtree.MTree(v[:9] * (1 << 40), ids[:9])
+    assert mtree.search_many(big, q[:4] * (1 << 30), 2, skips[:4], [None] * 4) == [big.search(x * (1 << 30), 2, s) for x, s in zip(q[:4], skips[:4], strict=True)]
+
+
 def test_pages_give_the_tree_back_and_an_index_saves_distances(spark, monkeypatch):
     monkeypatch.setattr(mtree, "TREE_ROWS", 500)
     monkeypatch.setattr(mtree, "QUERY_BLOCK", 16)
