@@ -38,6 +38,8 @@ TREE_ROWS = 8192
 PIVOTS, SAMPLE = 64, 4096
 #: How much farther than the nearest query of a pack others may be from a node to visit it at once, as a share of the bound.
 APART = 0.2
+#: Share of a block that bounds leave from which on all of it is computed, as one product costs less.
+DENSE = 0.5
 
 
 class Node:
@@ -216,7 +218,7 @@ def search_many(t: MTree, queries: np.ndarray, k: int, skips: list[int], leasts:
         entries, may = node.entries[may.any(axis=0)], may[:, may.any(axis=0)]
         if not len(rows):
             continue
-        if may.mean() > 0.5:
+        if may.mean() > DENSE:
             t.computed += may.size
             scores = y[rows, :-1] @ t.v[entries].T.astype(np.float64)
         else:
