@@ -247,3 +247,62 @@ def test_chat_edges(spark):
     none = df.limit(0)
     assert chat.canonical(chat.roles(none, chat.fit(none))).collect() == []
     assert chat.fit(df.withColumn("role", F.lit(None).cast("string"))).emit.shape == (3, chat.SLOTS)
+
+
+# ---- whole queries against plain recomputations
+
+
+def test_op9_equals_all_pairs(spark, sf):
+    from strataspark.llm import queries
+    from strataspark.llm.common import table
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    m, f = quality.fit(docs, table(spark, sf, "labels")), quality.Features()
+    got = {r.doc_id: r for r in queries.op9_quality(spark, sf).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        idx, val = f(r.text or "")
+        x = m.v[idx].astype(np.float64) * val[:, None]
+        pairs = np.triu(x @ x.T, 1).sum()  # every two features
+        y = m.w0 + float((m.w[idx].astype(np.float64) * val).sum()) + pairs
+        want = 1 / (1 + np.exp(-np.clip(y, -30, 30)))
+        g = got[r.doc_id]
+        assert abs(g.score - want) < 1e-5 and g.predicted == int(g.score >= 0.7) and g.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+
+
+def test_op2_equals_a_plain_recurrence(spark, sf):
+    from strataspark.llm import queries
+    from strataspark.llm.common import table
+
+    docs = table(spark, sf, "documents")
+    m = langid.fit(docs)
+    got = {r.doc_id: r for r in queries.op2_langid(spark, sf).collect()}
+    known: dict = {}
+    for r in docs.collect():
+        words = (r.text or "").split()
+        plain = [langid.letters_of(w) for w in words]
+        table_ = []
+        for w in plain:
+            if w and w not in known:
+                known[w] = m.scores([w])[0].astype(float).tolist()
+            table_.append(known[w] if w else [0.0] * len(m.langs))
+        v, back = list(table_[0]) if table_ else [], []
+        for s in table_[1:]:
+            best = [max((v[p] - (langid.SWITCH if p != k else 0), p == k, -p) for p in range(len(v))) for k in range(len(v))]
+            back.append([k if b[1] else -b[2] for k, b in enumerate(best)])
+            v = [b[0] + s[k] for k, b in enumerate(best)]
+        path = [max(range(len(v)), key=lambda k: (v[k], -k))] if v else []
+        for b in reversed(back):
+            path.append(b[path[-1]])
+        path = path[::-1]
+        letters = [0] * len(m.langs)
+        for p, w in zip(path, plain, strict=True):
+            letters[p] += len(w)
+        g = got[r.doc_id]
+        if not sum(letters):
+            assert (g.lang_pred, g.score, g.n_spans) == ("und", 0.0, 0)
+            continue
+        top = max(range(len(letters)), key=lambda k: (letters[k], -k))
+        assert g.lang_pred == m.langs[top] and abs(g.score - letters[top] / sum(letters)) < 1e-9
+        assert g.n_spans == 1 + sum(a != b for a, b in zip(path, path[1:], strict=False))
