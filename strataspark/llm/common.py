@@ -121,6 +121,19 @@ def column(b: pa.RecordBatch, col: str) -> pa.Array:
     return b.column(b.schema.get_field_index(col))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined up until they hold so many bytes."""
+    held, total = [], 0
+    for b in batches:
+        held.append(b)
+        total += b.nbytes
+        if total >= size:
+            yield pa.concat_batches(held)
+            held, total = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def texts(b: pa.RecordBatch, col: str) -> list[str]:
     return ["" if x is None else x for x in column(b, col).to_pylist()]
 

@@ -25,13 +25,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import read_spec
-from .common import column, cut, parts, ready, tokenizer_path
+from .common import column, cut, gathered, parts, ready, tokenizer_path
 from .merging import merger
 
 FILE = "word_bpe_49k.json"
 END_ID = 1
 #: Tokens of a shard, at most one document more. A task's range is written as several shards beyond that.
 SHARD_TOKENS = 1_000_000
+#: Bytes of texts that are encoded at once, and chunks in a worker's memo (some 60 bytes each).
+GATHER, MEMO = 12_000_000, 400_000
 #: Shards up to which the table of their sums (20 bytes each) is broadcast; beyond that it is joined by a shuffle.
 SMALL_SHARDS = 500_000
 BLOCK, CHUNK = 512, 1 << 18  # bits between rank samples, bits compressed at once
@@ -196,7 +198,7 @@ def write_shards(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str
     def run(batches):
         from pyspark import TaskContext
 
-        m = merger(shared.value)
+        m = merger(shared.value, memo=MEMO)
         part, shard = TaskContext.get().partitionId(), 0
         ids, sizes, docs, size = [], [], [], 0
 
@@ -209,7 +211,7 @@ def write_shards(df: DataFrame, spec: str, id_col: str = "doc_id", text_col: str
             ids, sizes, docs, size, shard = [], [], [], 0, shard + 1
             return pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], names)
 
-        for b in batches:
+        for b in gathered(batches, GATHER):
             got = m.encode_column(column(b, text_col))
             if not len(got):
                 continue
