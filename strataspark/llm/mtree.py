@@ -7,13 +7,13 @@ product is a smaller distance, so an M-tree applies.
    them in bulk into trees of at most TREE_ROWS rows. A tree's pages are the rows of a table in the shared folder, written once: a
    routing object with its covering radius and its distance to the parent, and below the last of them up to PAGE entries
    with their vectors, ids and distances to it. Equal vectors are one entry with all their ids.
-2. `search` packs the queries into blocks of about QUERY_BLOCK. Each query is first answered by a tree of its own pivot, which
-   gives it a bound, and then by all other trees, blocks against trees dealt over all tasks. A query doesn't enter a tree whose
+2. `search` packs the queries into blocks of about QUERY_BLOCK. Each query is first answered by the tree whose root scores best,
+   which gives it a bound, and then by all other trees, blocks against trees dealt over all tasks. A query doesn't enter a tree whose
    root's ball lies beyond its bound. In a tree, nodes are visited best first; by the triangle inequality a stored distance
    to the parent rules out nodes and entries before their own distance is computed. Scores of what is left are exact
    whole-number products. A pack's queries go through a tree together. `computed` says how many distances it took.
 
-Nothing of the table is gathered on the driver but the sample; neither queries nor trees are broadcast. Null vectors, and such with
+Nothing of the table is gathered on the driver but the sample and at most ROOTS centers; neither queries nor trees are broadcast. Null vectors, and such with
 null, NaN or infinite components or none at all, take no part; vectors of different lengths are not compared; null ids take no
 part. A row with the query's own vec_id isn't its candidate. A query with fewer than k candidates gets all. Repeated query
 ids count once (the vector that sorts first). Ids are whole numbers (other kinds are cast, or the job fails). An empty
@@ -36,8 +36,10 @@ FAN = 16
 QUERY_BLOCK = 256
 TREE_ROWS = 8192
 PIVOTS, SAMPLE = 64, 4096
+#: Trees up to which the centers of their roots (8 bytes a dimension) are compared with every query.
+ROOTS = 4096
 #: How much farther than the nearest query of a pack others may be from a node to visit it at once, as a share of the bound.
-APART = 0.2
+APART = 0.15
 #: Share of a block that bounds leave from which on all of it is computed, as one product costs less.
 DENSE = 0.5
 
@@ -197,7 +199,7 @@ def search_many(t: MTree, queries: np.ndarray, k: int, skips: list[int], leasts:
         if not len(rows):
             continue
         low = d - node.radius
-        far = low > low.min() + APART * limit[rows].min()
+        far = low > low.min() + APART * min(limit[rows].min(), d.min())
         if far.any() and not far.all():
             # others have nearer nodes to visit first, which may rule this one out
             heapq.heappush(heap, (float(low[far].min()), n, rows[far], d[far], node))
@@ -389,16 +391,39 @@ def _answered(packs: DataFrame, index: Index, k: int) -> DataFrame:
     return both.mapInArrow(run, "query_id long, score long, vec_id long, computed long")
 
 
+def _at_home(asked: DataFrame, index: Index) -> DataFrame:
+    """i, size, v and home, the tree that a query is answered by first: that whose root scores best, or, if there are more than ROOTS trees, the
+    first of the query's pivot (or length). Any choice gives the same result."""
+    roots = index.pages.where("up < 0")
+    if index.trees > ROOTS:
+        # a tree of each pivot, and one of each length: as many rows as pivots
+        of_pivot = roots.groupBy("size", "pivot").agg(F.min("tree").alias("own"))
+        of_size = roots.groupBy("size").agg(F.min("tree").alias("any"))
+        placed = asked.join(F.broadcast(of_pivot), ["size", "pivot"], "left").join(F.broadcast(of_size), "size")
+        return placed.select("i", "size", "v", F.coalesce("own", "any").alias("home"))
+    by: dict[int, tuple[list, list]] = {}
+    for r in roots.select("size", "tree", "center").orderBy("tree").collect():
+        ids, centers = by.setdefault(r["size"], ([], []))
+        ids.append(r.tree)
+        centers.append(np.frombuffer(r.center)[:-1])
+    shared = asked.sparkSession.sparkContext.broadcast({n: (np.array(i, np.int64), np.array(c)) for n, (i, c) in by.items()})
+
+    def run(batches):
+        for b in batches:
+            rows = [r for r in zip(*(c.to_pylist() for c in b.columns), strict=True) if r[1] in shared.value]
+            home = [int(ids[(centers @ unpacked(v, n)[0].astype(np.float64)).argmax()]) for _, n, v in rows for ids, centers in [shared.value[n]]]
+            cols = [[r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows], home]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.binary(), pa.int64()), strict=True)], ["i", "size", "v", "home"])
+
+    return asked.select("i", "size", "v").mapInArrow(run, "i long, size int, v binary, home long")
+
+
 def search(index: Index, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, score, vec_id: the best of the trees that each query entered, its k best of all among them, and computed, the distances
     that took (of a pack in a tree; in a row without a score)."""
     spark = ready(queries.sparkSession)
     asked = _rows(queries, id_col, vec_col, index.pivots).groupBy("i").agg(F.min(F.struct("size", "v", "pivot")).alias("x")).select("i", "x.*")
-    # a tree of each pivot, and one of each length: as many rows as pivots
-    of_pivot = index.pages.where("up < 0").groupBy("size", "pivot").agg(F.min("tree").alias("own"))
-    of_size = index.pages.where("up < 0").groupBy("size").agg(F.min("tree").alias("any"))
-    placed = asked.join(F.broadcast(of_pivot), ["size", "pivot"], "left").join(F.broadcast(of_size), "size").withColumn("home", F.coalesce("own", "any"))
-    placed = cut(placed.select("i", "size", "v", "home"), "asked")
+    placed = cut(_at_home(asked, index), "asked")
     per_home = placed.groupBy("home").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
 
     def packs(t: DataFrame) -> DataFrame:

@@ -192,3 +192,15 @@ def test_loser_tree_merges_front_coded_runs():
     for (_, a, _), (shared, b, _) in zip(got, got[1:], strict=False):
         assert shared == len(os.path.commonprefix([a, b]))
     assert list(suffix.merged([])) == []
+
+
+def test_any_first_tree_gives_the_same_result(spark, monkeypatch):
+    monkeypatch.setattr(mtree, "TREE_ROWS", 60)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=3 + i % 2).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    queries = df.where("vec_id % 50 < 2")
+    want = best(rows, [r for r in rows if r[0] % 50 < 2])
+    assert answers(df, queries) == want
+    monkeypatch.setattr(mtree, "ROOTS", 0)
+    assert answers(df, queries) == want
