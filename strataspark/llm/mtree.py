@@ -39,7 +39,7 @@ PIVOTS, SAMPLE = 64, 4096
 #: Trees up to which the centers of their roots (8 bytes a dimension) are compared with every query.
 ROOTS = 4096
 #: How much farther than the nearest query of a pack others may be from a node to visit it at once, as a share of the bound.
-APART = 0.15
+APART = 0.25
 #: Share of a block that bounds leave from which on all of it is computed, as one product costs less.
 DENSE = 0.5
 
