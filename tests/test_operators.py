@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -196,6 +197,24 @@ def test_walks_follow_edges_and_repeat(spark):
     assert rows(got, "qid", "walk_no", "walk") == rows(embedding.walks(n, length=6, per_node=2, q=0.5), "qid", "walk_no", "walk")
 
 
+def test_walks_have_the_odds_asked_for(spark):
+    # from c, after a: back to a by 1/p, to b (a neighbour of a) by 1, to d and e by 1/q
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("c", "e")], "parent_qid string, child_qid string")
+    for p, q in ((0.5, 2.0), (4.0, 0.25), (1.0, 1.0)):
+        got = embedding.walks(graph.neighbor_map(edges), length=3, per_node=8000, p=p, q=q, seed=3).where("walk[0] = 'a' and walk[1] = 'c'").groupBy(F.col("walk")[2].alias("v")).count()
+        n = {r.v: r["count"] for r in got.collect()}
+        odds = {"a": 1 / p, "b": 1.0, "d": 1 / q, "e": 1 / q}
+        assert n.keys() == odds.keys() and sum(n.values()) > 3500
+        assert all(abs(n[v] / sum(n.values()) - x / sum(odds.values())) < 0.03 for v, x in odds.items())
+
+
+def test_walks_around_a_hub_take_no_square_of_its_size(spark):
+    edges = spark.createDataFrame([("hub", f"n{i}") for i in range(6000)], "parent_qid string, child_qid string")
+    began = time.monotonic()
+    assert embedding.walks(graph.neighbor_map(edges), length=4, p=0.5, q=2.0).where("size(walk) = 4").count() == 2 * 6001
+    assert time.monotonic() - began < 60
+
+
 def test_each_edge_has_a_negative(spark):
     real = {("hub", f"n{i}") for i in range(100)} | {(f"n{i}", f"n{i + 100}") for i in range(100)}
     edges = spark.createDataFrame(sorted(real), "parent_qid string, child_qid string")
