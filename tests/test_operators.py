@@ -154,6 +154,20 @@ def test_retrieval_golden(spark):
     assert none.evaluated_query_count == 0 and none["map"] == 0.0
 
 
+@pytest.mark.parametrize("self_hit, not_same", [(False, None), (True, None), (False, "path")])
+def test_metrics_equal_those_of_ranked_pairs(spark, self_hit, not_same):
+    # many equal vectors, unknown ids, vectors of no length
+    row = lambda i: (i, None if i % 11 == 0 else f"Q{i % 3}", None if i % 7 == 0 else str(i // 4), [float(i * i % 5 - 2), float(i % 3 - 1)])
+    v = spark.createDataFrame([row(i) for i in range(90)], "idx long, qid string, path string, embedding array<double>")
+    some = v.where("idx % 2 = 0")
+    columns = [F.round(c, 9) if c[0] in "arn" else F.col(c) for c in ("q", "qid", "relevant_count", "average_precision", "reciprocal_rank", "ndcg_10", "ndcg_50", "ndcg_100")]
+    got = similarity.metrics(some, v, self_hit, not_same)
+    assert "Window" not in got._jdf.queryExecution().toString()
+    want = sorted(map(tuple, similarity.query_metrics(similarity.ranked(some, v, self_hit, not_same)).select(columns).collect()))
+    assert len(want) > 30 and sorted(map(tuple, got.select(columns).collect())) == want
+    assert sorted(map(tuple, similarity.metrics(some, v, self_hit, not_same, held=1).select(columns).collect())) == want
+
+
 @pytest.mark.parametrize("cells, want", [([(0, 0, 2), (1, 1, 2)], (1, 1, 1, 1, 1, 1)), ([(0, 0, 1), (0, 1, 1), (1, 0, 1), (1, 1, 1)], (0, 0, 0, 0, 0.5, -0.5)), ([(0, 0, 4)], (1, 1, 1, 1, 1, 1)), ([(0, 0, 2), (1, 0, 2)], (0, 0, 1, 0, 0.5, 0))])
 def test_cluster_scores(spark, cells, want):
     assert tuple(round(x, 6) for x in clustering.scores(spark.createDataFrame(cells, "t int, p int, n long")).first()) == want
