@@ -1,6 +1,7 @@
 import json
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -154,6 +155,22 @@ def test_retrieval_golden(spark):
     assert none.evaluated_query_count == 0 and none["map"] == 0.0
 
 
+def test_matrix_in_blocks_takes_half_the_disk(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(similarity, "QUERY_BLOCK", 60)
+    n, x = 600, np.random.default_rng(3).normal(size=(600, 8)).astype(np.float32).astype(float)
+    x[7] = 0
+    v = spark.createDataFrame([(i, e) for i, e in enumerate(x.tolist())], "idx long, embedding array<double>").coalesce(1)
+    similarity.matrix(v).coalesce(1).write.parquet(out := str(tmp_path / "m"))
+    got = spark.read.parquet(out).toPandas().sort_values(["q", "c"])
+    assert got[["q", "c"]].to_numpy().tolist() == [[i, j] for i in range(n) for j in range(n)]
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    want = np.round(u @ u.T, 9)
+    np.fill_diagonal(want, 1.0)
+    assert np.abs(got["sim"].to_numpy() - want.ravel()).max() < 2e-9
+    assert sum(f.stat().st_size for f in (tmp_path / "m").glob("*.parquet")) < 6.5 * n * n
+    assert similarity.matrix(v.where("idx < 0")).count() == 0
+
+
 @pytest.mark.parametrize("self_hit, not_same", [(False, None), (True, None), (False, "path")])
 def test_metrics_equal_those_of_ranked_pairs(spark, self_hit, not_same):
     # many equal vectors, unknown ids, vectors of no length
