@@ -185,6 +185,21 @@ def test_metrics_equal_those_of_ranked_pairs(spark, self_hit, not_same):
     assert sorted(map(tuple, similarity.metrics(some, v, self_hit, not_same, held=1).select(columns).collect())) == want
 
 
+def test_metrics_send_short_vectors(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(200, 16)).astype(np.float32)
+    v = spark.createDataFrame([(i, f"Q{i % 3}", e) for i, e in enumerate(x.tolist())], "idx long, qid string, embedding array<double>")
+    want = rows(similarity.query_metrics(similarity.ranked(v, v, True)), "q", F.round("average_precision", 9))
+    sent, send = [], spark.sparkContext.broadcast
+
+    def broadcast(self, value):
+        sent.append(max(a.nbytes for a in value if isinstance(a, np.ndarray)))
+        return send(value)
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", broadcast)
+    got = similarity.metrics(v, v, True)
+    assert rows(got, "q", F.round("average_precision", 9)) == want and len(want) == 200 and sent == [200 * 16 * 4]
+
+
 @pytest.mark.parametrize("cells, want", [([(0, 0, 2), (1, 1, 2)], (1, 1, 1, 1, 1, 1)), ([(0, 0, 1), (0, 1, 1), (1, 0, 1), (1, 1, 1)], (0, 0, 0, 0, 0.5, -0.5)), ([(0, 0, 4)], (1, 1, 1, 1, 1, 1)), ([(0, 0, 2), (1, 0, 2)], (0, 0, 1, 0, 0.5, 0))])
 def test_cluster_scores(spark, cells, want):
     assert tuple(round(x, 6) for x in clustering.scores(spark.createDataFrame(cells, "t int, p int, n long")).first()) == want
