@@ -282,6 +282,46 @@ def test_transe_and_node2vec_give_vectors(spark):
     assert embedding.node2vec(embedding.walks(graph.neighbor_map(edges), 4), size=3).count() == 3
 
 
+def plain_transe(h, t, n, size, epochs, rate=0.01, margin=1.0, seed=0):
+    """TransE's full-batch steps by whole tables of differences."""
+    rng, m = np.random.default_rng(seed), len(h)
+    bound = 6 / size**0.5
+    e = np.stack([rng.uniform(-bound, bound, n).astype(np.float32) for _ in range(size)], 1)
+    r, out = rng.uniform(-bound, bound, size), []
+    e /= np.sqrt((e * e).sum(1, keepdims=True))
+    r /= np.linalg.norm(r)
+    for epoch in range(1, epochs + 1):
+        bad, head = rng.integers(0, n, m), rng.random(m) < 0.5
+        nh, nt = np.where(head, bad, h), np.where(head, t, bad)
+        pos, neg = e[h] + r - e[t], e[nh] + r - e[nt]
+        loss = margin + np.abs(pos).sum(1) - np.abs(neg).sum(1)
+        hit = (loss > 0)[:, None]
+        gp, gn, g = np.sign(pos) * hit, np.sign(neg) * hit, np.zeros((n, size))
+        for at, x in ((h, gp), (t, -gp), (nh, -gn), (nt, gn)):
+            np.add.at(g, at, x)
+        e, r = (e - rate * g).astype(np.float32), r - rate * (gp - gn).sum(0) / m
+        e /= np.sqrt((e * e).sum(1, keepdims=True))
+        out.append((epoch, float(np.maximum(loss, 0).mean()), int(hit.sum())))
+    return e, out
+
+
+@pytest.mark.parametrize("threads", [1, 2])
+def test_transe_steps_are_those_of_whole_tables(monkeypatch, threads):
+    monkeypatch.setattr(embedding, "AT_ONCE", 32)
+    monkeypatch.setattr(embedding, "THREADS", threads)
+    rng = np.random.default_rng(3)
+    added, add_rows = [], embedding._add_rows
+    monkeypatch.setattr(embedding, "_add_rows", lambda to, at, *more: (added.append(len(at)), add_rows(to, at, *more)))
+    # hubs on either side, edges that repeat, loops
+    h, t = np.concatenate([rng.integers(0, 60, 400), np.zeros(300, int), rng.integers(0, 60, 300)]), np.concatenate([rng.integers(0, 60, 700), np.ones(300, int)])
+    e, out = embedding.transe_steps(h, t, 60, 16, 8, 0.01, 1.0, 0)
+    want, trace = plain_transe(h, t, 60, 16, 8)
+    assert np.allclose(e, want, atol=1e-4)
+    assert [x[::2] for x in out] == [x[::2] for x in trace] and np.allclose([x[1] for x in out], [x[1] for x in trace], atol=1e-5)
+    # only edges within the margin cost sums, one for each end
+    assert sum(added) == 3 * sum(x[2] for x in out) < 3 * 8 * len(h)
+
+
 def test_runs(spark):
     ids = spark.createDataFrame([(0, "s0"), (1, "s1")], "row_idx int, surface_id string")
     man = spark.createDataFrame([("s0", "ja", 0), ("s0", "en", 1)], "surface_id string, language string, row_no int")
